@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import quality, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": substring.op1_substring_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
 }
 ORACLES: dict[str, str] = {
