@@ -66,11 +66,19 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         at = to
 
 
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
+    """Hashes of byte ranges."""
+    up, down = _pow(len(raw))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(table[raw] * up[: len(raw)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start])
+
+
 class Words:
     """Words of a column: ``start``/``end`` are byte places in ``raw``, ``hash`` 64-bit values,
     ``first[d]:first[d + 1]`` the words of row d, ``doc`` the row of each word."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array):
         self.raw, self.off = text_bytes(column)
         raw, off = self.raw, self.off
         n = len(raw)
@@ -85,14 +93,7 @@ class Words:
         after[:-1] = solid[1:]
         self.start = np.flatnonzero(solid & (~before | edge[:n]))
         self.end = np.flatnonzero(solid & (~after | edge[1:])) + 1
-        up, down = _pow(n)
-        table = _BYTE
-        if lower:
-            table = _BYTE.copy()
-            table[65:91] = _BYTE[97:123]
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[raw] * up[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
+        self.hash = span_hashes(raw, self.start, self.end)
         self.first = np.searchsorted(self.start, off)
         self.doc = np.repeat(np.arange(len(off) - 1), np.diff(self.first))
         self.place = np.arange(len(self.start)) - self.first[self.doc]
