@@ -8,6 +8,8 @@ PERIOD at which both lie on it, so any two equal windows of ``min_words`` words
 anchor. Anchors that occur twice are then extended: every full window that holds one is hashed, and
 windows that occur twice are the repeats, to the word.
 
+A text that is the copy of another as a whole is a repeat from end to end without any of this.
+
 Scale: the anchors (a fifth of the words, 20 bytes each) are shuffled once by hash, the texts once to
 meet their repeated anchors, and full windows exist only where something repeats. Groups are read off
 by sorting, so a passage that any number of documents share needs no list of its places in memory.
@@ -36,12 +38,13 @@ from ._words import Words, slices, text_bytes
 PERIOD = 31
 #: Every remainder modulo PERIOD is a difference of two of these.
 COVER = (0, 1, 3, 8, 12, 18)
+_SOLID = "[^ \\t\\n\\r\\x0b\\f]+"
 _ON_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), text.alias("text")).withColumn("mark", F.hash("text"))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), text.alias("text")).withColumns({"same": F.xxhash64("text"), "mark": F.hash("text")})
 
 
 def _anchors(width: int):
@@ -52,8 +55,8 @@ def _anchors(width: int):
                 at = np.flatnonzero(_ON_COVER[words.place % PERIOD] & (words.left >= width))
                 of = pa.array(words.doc[at])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(words.windows(at, width).view(np.int64)), part.column("doc").take(of), part.column("mark").take(of), pa.array(words.place[at].astype(np.int32))],
-                    ["h", "doc", "mark", "place"],
+                    [pa.array(words.windows(at, width).view(np.int64)), part.column("same").take(of), pa.array(words.place[at].astype(np.int32))],
+                    ["h", "same", "place"],
                 )
 
     return work
@@ -84,41 +87,45 @@ def _windows(length: int, width: int):
     return work
 
 
-_PLACES = "h long, doc long, mark int, place int"
-
-
-def _other(c: Column) -> Column:
-    """Whether another occurrence lies there; a repeated row is the same occurrence."""
-    return c.isNotNull() & ~c.eqNullSafe(F.struct("doc", "mark", "place"))
+def _other(c: Column, here: Column) -> Column:
+    """Whether another occurrence lies there; a copied row is the same occurrence."""
+    return c.isNotNull() & ~c.eqNullSafe(here)
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """``doc_id, mark, start_word, end_word, first_doc_id``: maximal runs of words of a document that
-    earlier repeats cover (end exclusive), and the document where the run's first window first occurs.
+    earlier repeats cover (end exclusive), and the document where the run's first window first occurs;
+    for a document whose whole text is an earlier one's, the first with that text.
     ``mark`` is the text's 32-bit hash, which with the id names the document."""
     width = min_words - PERIOD + 1
     if width < 2:
         raise ValueError(f"min_words must be over {PERIOD}")
     keyed = _keyed(docs, id_col, text_col)
-    by_hash = Window.partitionBy("h").orderBy("doc", "mark", "place")
-    here = F.struct("doc", "mark", "place")
+    here = F.struct("same", "place")
+    by_hash = Window.partitionBy("h").orderBy("same", "place")
     repeated = (
-        keyed.mapInArrow(_anchors(width), _PLACES)
+        keyed.select("same", "text").mapInArrow(_anchors(width), "h long, same long, place int")
         .withColumns({"before": F.lag(here).over(by_hash), "after": F.lead(here).over(by_hash)})
-        .where(_other(F.col("before")) | _other(F.col("after")))
-        .groupBy("doc", "mark")
+        .where(_other(F.col("before"), here) | _other(F.col("after"), here))
+        .groupBy("same")
         .agg(F.collect_set("place").alias("places"))
-    )
-    same = keyed["doc"].eqNullSafe(repeated["doc"]) & (keyed["mark"] == repeated["mark"])
-    found = keyed.join(repeated.hint("shuffle_hash"), same).select(keyed["doc"], keyed["mark"], "text", "places")
-    first = F.first(here).over(by_hash)
-    repeats = found.mapInArrow(_windows(min_words, width), _PLACES).withColumn("origin", first).where(_other(F.col("origin")))
+    )
+    # Copies of a text repeat all of it; only the first of them goes on to full windows.
+    copy = Window.partitionBy("same").orderBy("doc", "mark")
+    found = keyed.join(repeated.hint("shuffle_hash"), "same").withColumn("copy", F.row_number().over(copy)).where("copy = 1")
+    here = F.struct("doc", "mark", "place")
+    by_hash = Window.partitionBy("h").orderBy("doc", "mark", "place")
+    windows = found.select("doc", "mark", "text", "places").mapInArrow(_windows(min_words, width), "h long, doc long, mark int, place int")
+    repeats = windows.withColumn("origin", F.first(here).over(by_hash)).where(_other(F.col("origin"), here))
     in_doc = Window.partitionBy("doc", "mark").orderBy("place")
     runs = repeats.select("doc", "mark", "place", F.col("origin.doc").alias("origin")).withColumn("before", F.lag("place").over(in_doc))
     runs = runs.withColumn("run", F.count_if(F.col("before").isNull() | (F.col("place") > F.col("before") + min_words)).over(in_doc))
-    return runs.groupBy("doc", "mark", "run").agg(F.min("place").alias("start_word"), (F.max("place") + min_words).alias("end_word"), F.min_by("origin", "place").alias("first_doc_id")).select(
-        F.col("doc").alias("doc_id"), "mark", "start_word", "end_word", "first_doc_id"
-    )
+    runs = runs.groupBy("doc", "mark", "run").agg(F.min("place").alias("start_word"), (F.max("place") + min_words).alias("end_word"), F.min_by("origin", "place").alias("first_doc_id"))
+    words = F.regexp_count("text", F.lit(_SOLID)).alias("end_word")
+    copies = keyed.select("doc", "mark", "same", words).withColumns({"first": F.first("doc").over(copy), "before": F.lag("doc").over(copy), "copy": F.row_number().over(copy)})
+    copies = copies.where((F.col("copy") > 1) & ~F.col("doc").eqNullSafe(F.col("first")) & ~F.col("doc").eqNullSafe(F.col("before")) & (F.col("end_word") >= min_words))
+    out = runs.drop("run").unionByName(copies.select("doc", "mark", F.lit(0).alias("start_word"), "end_word", F.col("first").alias("first_doc_id")))
+    return out.select(F.col("doc").alias("doc_id"), "mark", "start_word", "end_word", "first_doc_id")
 
 
 def _cut(text_col: str, length_col: str | None):
