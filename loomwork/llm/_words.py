@@ -55,13 +55,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Row ranges of a batch whose text adds up to about ``limit`` bytes each."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Row ranges of a batch whose text adds up to about ``limit`` bytes each, of ``rows`` rows at most."""
     k = batch.schema.get_field_index(column)
     raw, off = text_bytes(batch.column(k))
     at, n = 0, batch.num_rows
     while at < n:
-        to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
+        to = min(at + rows, max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1))
         yield batch.slice(at, to - at)
         at = to
 

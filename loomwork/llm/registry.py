@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, substring
+from . import bpe, jaccard, quality, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring.op1_substring_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_ngram_jaccard_join": jaccard.op7_ngram_jaccard_join,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
 }
 ORACLES: dict[str, str] = {
     "op6_quality_rules": quality.ORACLE,
