@@ -102,8 +102,10 @@ def _branches(sketch: DataFrame, threshold: float, recall: float) -> tuple[DataF
     order = Window.partitionBy("tree", "root").orderBy("key", "node")
     trie = trie.withColumn("before", F.lag("key").over(order))
     new = {d: F.col("before").isNull() | (F.substring("key", 1, 4 * d) != F.substring("before", 1, 4 * d)) for d in depths}
-    heads = [F.struct(F.lit(d).alias("depth"), F.last(F.when(new[d], F.col("node")), True).over(order).alias("b")) for d in depths]
-    found = trie.select(F.col("node").alias("a"), F.explode(F.array(*heads)).alias("x")).select("a", "x.*").where("a != b")
+    here = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    trie = trie.select("node", *(F.last(F.when(new[d], F.col("node")), True).over(here).alias(f"head_{d}") for d in depths))
+    heads = F.array(*(F.struct(F.lit(d).alias("depth"), F.col(f"head_{d}").alias("b")) for d in depths))
+    found = trie.select(F.col("node").alias("a"), F.explode(F.filter(heads, lambda x: x["b"] != F.col("node"))).alias("x")).select("a", "x.*")
     found = written(found.groupBy("a", "b").agg(F.collect_set("depth").alias("depths")), "branches")
 
     low = F.transform(F.sequence(F.lit(1), F.lit(TREES * DEPTH)), lambda k: F.substring("sign", k * 4, 1))
