@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, quality, substring
+from . import bpe, jaccard, quality, secret_scan, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring.op1_substring_dedup,
+    "op2_secret_scan": secret_scan.op2_secret_scan,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_ngram_jaccard_join": jaccard.op7_ngram_jaccard_join,
     "op8_byte_bpe": bpe.op8_byte_bpe,
