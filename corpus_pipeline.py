@@ -1,24 +1,57 @@
-"""From raw documents to packed training sequences, in stages that are written and read again."""
+"""From raw documents to packed training sequences, in stages that are written and read again.
+
+Each stage takes all that its predecessor kept. All but the last return the columns of documents, with
+``n_chars`` following the text; the last returns the place of every piece of every document. The rows
+of ``run`` can't be had from SQL (a trained network decides one stage, a randomised rounding another),
+so the tests hold each stage against a brute-force version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwork.llm import quality
+from loomwork.llm import bpe, jaccard, packing, quality, secret_scan, substring
 from loomwork.llm._io import table, written
 
 ORACLE_SQL: str | None = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules of policy v1 reject go."""
     return quality.keep(docs, "v1")
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies one document stays."""
+    return jaccard.one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more stay where they first occur and are cut elsewhere."""
+    return substring.remove(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark."""
+    return secret_scan.redact(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are packed into sequences of 2048 tokens."""
+    return packing.pack(docs, bpe.default_vocabulary())
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("secret_scan", secrets),
+    ("best_fit_packing", sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
