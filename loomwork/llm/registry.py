@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, packing, quality, secret_scan, substring
+from . import bpe, jaccard, packing, quality, secret_scan, substring, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring.op1_substring_dedup,
     "op2_secret_scan": secret_scan.op2_secret_scan,
+    "op3_suffix_array_dedup": suffixes.op3_suffix_array_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_ngram_jaccard_join": jaccard.op7_ngram_jaccard_join,

@@ -42,7 +42,7 @@ _SOLID = "[^ \\t\\n\\r\\x0b\\f]+"
 _ON_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), text.alias("text")).withColumns({"same": F.xxhash64("text"), "mark": F.hash("text")})
 
@@ -100,7 +100,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     width = min_words - PERIOD + 1
     if width < 2:
         raise ValueError(f"min_words must be over {PERIOD}")
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = keyed_texts(docs, id_col, text_col)
     here = F.struct("same", "place")
     by_hash = Window.partitionBy("h").orderBy("same", "place")
     repeated = (
@@ -110,9 +110,16 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
         .groupBy("same")
         .agg(F.collect_set("place").alias("places"))
     )
+    return extend(keyed, repeated, min_words, width)
+
+
+def extend(keyed: DataFrame, candidates: DataFrame, min_words: int, width: int) -> DataFrame:
+    """The spans of texts, given ``same, places``: word places of a text (by its hash) such that any
+    window of ``min_words`` words that also starts elsewhere holds the ``width`` words from one of
+    them on. All full windows around the places are compared."""
     # Copies of a text repeat all of it; only the first of them goes on to full windows.
     copy = Window.partitionBy("same").orderBy("doc", "mark")
-    found = keyed.join(repeated.hint("shuffle_hash"), "same").withColumn("copy", F.row_number().over(copy)).where("copy = 1")
+    found = keyed.join(candidates.hint("shuffle_hash"), "same").withColumn("copy", F.row_number().over(copy)).where("copy = 1")
     here = F.struct("doc", "mark", "place")
     by_hash = Window.partitionBy("h").orderBy("doc", "mark", "place")
     windows = found.select("doc", "mark", "text", "places").mapInArrow(_windows(min_words, width), "h long, doc long, mark int, place int")
