@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, packing, quality, secret_scan, substring, suffixes
+from . import bpe, jaccard, packing, quality, secret_scan, substring, suffixes, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_ngram_jaccard_join": jaccard.op7_ngram_jaccard_join,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_token_store": token_store.op9_token_store,
 }
 ORACLES: dict[str, str] = {
     "op6_quality_rules": quality.ORACLE,
