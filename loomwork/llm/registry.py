@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, packing, quality, secret_scan, substring, suffixes, token_store
+from . import bpe, jaccard, media, packing, quality, secret_scan, substring, suffixes, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring.op1_substring_dedup,
@@ -17,7 +17,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ngram_jaccard_join": jaccard.op7_ngram_jaccard_join,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_token_store": token_store.op9_token_store,
+    "op10_media_columns": media.op10_media_columns,
 }
 ORACLES: dict[str, str] = {
     "op6_quality_rules": quality.ORACLE,
+    "op10_media_columns": media.ORACLE,
 }
