@@ -129,7 +129,9 @@ def keep(docs: DataFrame, policy: str | tuple[str, ...] = "v1", text_col: str =
     names = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("__lw_row"), *_measure(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
     rows = rows.select("__lw_row", *(c.alias(k) for k, c in _measures().items()))
-    return rows.where(_bits(F.col).bitwiseAND(F.lit(mask(policy))) == 0).select("__lw_row.*")
+    # The task's number keeps the condition above the measurements: below, each use would measure anew.
+    rows = rows.select("__lw_row", _bits(F.col).alias("__lw_bits"), F.spark_partition_id().alias("__lw_task"))
+    return rows.where((F.col("__lw_bits").bitwiseAND(F.lit(mask(policy))) == 0) & (F.col("__lw_task") >= 0)).select("__lw_row.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
