@@ -1,10 +1,594 @@
-"""Every query of the engine and the SQL that gives the same rows."""
+"""Queries over the test tables and the SQL that each must agree with."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .functions import safety, urls
+from .functions import text as T
+from .functions import vectors as V
+from .operators import chunking, embedding, html, search, sitemaps, stats, store
+from .plans import pipeline
+from .sources import files
+from .streaming import requests as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.concat(F.lit("https://"), "source", F.lit(".example.com/d/"), F.col("doc_id").cast("string")).alias("url"))
+
+
+def _marked(spark, sf_dir) -> DataFrame:
+    """Documents whose lines become headings of changing levels."""
+    lines = F.transform(F.split("content", "\n"), lambda x, i: F.concat(F.repeat(F.lit("#"), (i * 7) % 4), F.lit(" "), x))
+    return _docs(spark, sf_dir).select("doc_id", "url", F.array_join(lines, "\n").alias("md"))
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "events").withColumn("ok", F.col("event_type") != "error")
+
+
+_SPACE = r"[\t-\r\x1c-\x1f\x85\p{Z}]"
+_W = f"list_filter(string_split_regex(%s, '{_SPACE}+'), lambda x: x <> '')"
+_DOCS = "docs as (select doc_id, text content, 'https://' || source || '.example.com/d/' || doc_id url from documents)"
+_MARKED = f"{_DOCS}, marked as (select doc_id, url, array_to_string(list_transform(string_split(content, chr(10)), lambda x, i: repeat('#', (((i - 1) * 7) % 4)::int) || ' ' || x), chr(10)) md from docs)"
+_EVENTS = "ev as (select *, event_type <> 'error' ok, epoch_us(ts) t from events)"
+_PATH = r"regexp_extract(%s, '^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)', 1)"
+_DOT = "list_sum(list_transform(list_zip(%s, %s), lambda z: z[1]::double * z[2]::double))"
+
+
+# Chunking
+
+
+@_query(
+    f"""with {_DOCS}, w as (select *, {_W % 'content'} ws from docs),
+    s as (select *, unnest(range(0, len(ws), 160)) s from w where len(ws) > 0),
+    c as (select *, array_to_string(ws[s + 1:s + 200], ' ') chunk from s)
+    select doc_id, (s // 160)::int as "position", md5(url || ':text:' || s) id, chunk, len(ws[s + 1:s + 200])::int word_count, length(chunk)::int char_count,
+    regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) "domain" from c"""
+)
+def chunk_text_words(spark, sf_dir):
+    """Plain-text chunks of all documents."""
+    return chunking.text_windows(_docs(spark, sf_dir)).drop("content", "url")
+
+
+@_query(
+    f"""with {_DOCS}, w as (select *, {_W % 'content'} ws, length(content) n from docs),
+    k as (select *, greatest(1000 * len(ws) // n, 1) width from w where len(ws) > 0),
+    l as (select *, width - least(200 * len(ws) // n, width - 1) step from k),
+    s as (select *, unnest(range(0, len(ws), step)) s from l)
+    select doc_id, (s // step)::int as "position", array_to_string(ws[s + 1:s + width], ' ') chunk from s"""
+)
+def chunk_sliding(spark, sf_dir):
+    return chunking.sliding(_docs(spark, sf_dir).drop("url"), "content").drop("content")
+
+
+@_query()
+def chunk_recursive(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", F.regexp_replace("content", "\n", "\n\n").alias("content"))
+    return chunking.recursive(rows).drop("content")
+
+
+@_query(
+    rf"""with {_MARKED}, ls as (select doc_id, unnest(string_split(md, chr(10))) l, generate_subscripts(string_split(md, chr(10)), 1) i from marked),
+    h as (select *, case when regexp_matches(l, '^ {{0,3}}#{{1,6}} ') then length(regexp_extract(l, '^ *(#+)', 1)) else 0 end lv from ls),
+    g as (select *, sum((lv > 0)::int) over (partition by doc_id order by i) g from h),
+    h0 as (select doc_id, g, min(i) i0 from g where lv = 0 and g = 0 and regexp_matches(l, '[^\t-\r\x1c-\x1f\x85\p{{Z}}]') group by all),
+    keep as (select g.* from g left join h0 on g.doc_id = h0.doc_id where g.g > 0 or g.i >= h0.i0)
+    select doc_id, (row_number() over (partition by doc_id order by g) - 1)::int "section", level, body from (
+    select doc_id, g, max(lv)::int "level", string_agg(l || chr(10), '' order by i) body from keep group by doc_id, g)"""
+)
+def markdown_sections(spark, sf_dir):
+    return chunking.sections(_marked(spark, sf_dir), "md").select("doc_id", "section", "level", "body")
+
+
+@_query()
+def chunk_semantic(spark, sf_dir):
+    return chunking.semantic(_marked(spark, sf_dir), "md", "url", 500, 100).drop("md")
+
+
+@_query()
+def chunk_breaks(spark, sf_dir):
+    return chunking.breaks(_marked(spark, sf_dir).drop("url"), "md").drop("md")
+
+
+@_query()
+def chunk_dispatch(spark, sf_dir):
+    plain = _docs(spark, sf_dir).select("url", "content")
+    return chunking.chunk(plain.unionByName(_marked(spark, sf_dir).select(F.concat("url", F.lit("/md")).alias("url"), F.col("md").alias("content"))))
+
+
+@_query(
+    rf"""with w as (select doc_id, {_W % 'text'} ws from documents),
+    n as (select doc_id, len(ws) n, len(list_filter(ws, lambda x: regexp_matches(x, '^\p{{Lu}}'))) u, len(list_filter(ws, lambda x: regexp_matches(x, '\p{{N}}'))) d,
+    len(list_filter(ws, lambda x: regexp_matches(lower(x), '{"|".join(T.TERMS)}'))) k from w)
+    select doc_id, round(case when n = 0 then 0 else least((u * 5 + d * 3 + k * 7) / (n * 10.0::double), 1) + least(n / 100.0::double, 0.2) end, 9) density from n"""
+)
+def semantic_density(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.round(T.density(F.col("text")), 9).alias("density"))
+
+
+# Text and hashes
+
+
+@_query(
+    rf"""select doc_id, trim(regexp_replace(text, '{_SPACE}+', ' ', 'g')) clean, len({_W % 'text'})::int words, length(text)::int chars, sha256(text) sha, md5(doc_id || ':x') chunk_id,
+    replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') xml,
+    case when length(text) > 200 then text[1:200] || '...' else text end preview from documents"""
+)
+def text_basics(spark, sf_dir):
+    t = F.col("text")
+    return _read(spark, sf_dir, "documents").select(
+        "doc_id", T.clean(t).alias("clean"), T.word_count(t).alias("words"), F.length(t).alias("chars"), F.sha2(t, 256).alias("sha"),
+        F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":x"))).alias("chunk_id"), T.escape_xml(t).alias("xml"), T.preview(t).alias("preview"),
+    )
+
+
+@_query(
+    """select item_id, case when trim(text) <> '' and length(text) <= 200 then replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') end q from benchmark"""
+)
+def query_escape(spark, sf_dir):
+    return _read(spark, sf_dir, "benchmark").select("item_id", T.escape_query(F.col("text"), 200).alias("q"))
+
+
+@_query("select page_id, regexp_replace(html, '<[/!?a-zA-Z][^>]*>', '', 'g') plain from pages")
+def strip_tags(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", T.strip_tags(F.col("html")).alias("plain"))
+
+
+def _redaction_sql() -> str:
+    out = "text"
+    for pattern, mark in safety.PATTERNS:
+        out = "regexp_replace({}, '{}', '{}', 'g')".format(out, pattern.replace("'", "''"), mark.replace("$", "\\"))
+    return f"select doc_id, {out} redacted from documents"
+
+
+@_query(_redaction_sql())
+def redact_text(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", safety.redact(F.col("text")).alias("redacted"))
+
+
+@_query("select event_id, case when event_type in ('click', 'view') then '[REDACTED]' else props end a, event_type b from events")
+def redact_headers(spark, sf_dir):
+    name = F.when(F.col("event_type").isin("click", "view"), F.lit("Cookie")).otherwise(F.lit("Accept"))
+    headers = safety.redact_headers(F.map_from_arrays(F.array(name, F.lit("Host")), F.array("props", "event_type")))
+    return _read(spark, sf_dir, "events").select("event_id", headers[name].alias("a"), headers["Host"].alias("b"))
+
+
+@_query("select user_id, 'Security event: audit - key=token: [REDACTED], user=' || user_id line from (select distinct user_id from events)")
+def audit_lines(spark, sf_dir):
+    users = _read(spark, sf_dir, "events").select("user_id").distinct()
+    details = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("key"), F.lit("token: ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    return users.select("user_id", safety.audit_line(F.lit("audit"), details).alias("line"))
+
+
+@_query(
+    r"""select page_id, not regexp_matches(html, '(?is)<script.*?>.*?</script>|javascript:|on(?:error|load)=|eval\(|document\.cookie|<(?:iframe|object|embed)') safe,
+    (contains(lower(html), '<html') or contains(lower(html), '<body')) and len(regexp_extract_all(lower(html), '<script')) <= 20 valid_html from pages"""
+)
+def page_safety(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", safety.is_safe(F.col("html")).alias("safe"), safety.is_html(F.col("html")).alias("valid_html"))
+
+
+@_query(
+    """select event_id, case event_type when 'click' then value > 0 and value <= 100 when 'view' then false when 'signup' then true else false end ok from events"""
+)
+def typed_validation(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "click", "rate").when(F.col("event_type") == "view", "path").when(F.col("event_type") == "signup", "format").otherwise("other")
+    value = F.when(F.col("event_type") == "click", F.col("value").cast("string")).when(F.col("event_type") == "view", "../x").otherwise("JSON")
+    return _read(spark, sf_dir, "events").select("event_id", safety.validate(kind, value).alias("ok"))
+
+
+@_query(
+    """select event_id, case when event_id % 3 = 0 then (event_id % 50 + 1)::double when event_id % 3 = 1 then 90.0::double else 5.0::double end wait from events"""
+)
+def retry_after(spark, sf_dir):
+    k = F.col("event_id")
+    header = F.when(k % 3 == 0, (k % 50 + 1).cast("string")).when(k % 3 == 1, F.lit("Mon, 01 Jan 2024 00:01:30 GMT")).otherwise(F.lit("soon"))
+    return _read(spark, sf_dir, "events").select("event_id", safety.retry_after(header, F.lit("2024-01-01 00:00:00").cast("timestamp")).alias("wait"))
+
+
+@_query(
+    """with u as (select distinct user_id from events), d as (select user_id, sha256('loom:' || user_id || ':fast') h from u)
+    select user_id, round(list_reduce(list_transform(range(1, 65), lambda i: (instr('0123456789abcdef', h[i]) - 1)::bigint), lambda a, b: (a * 16 + b) % 10000) / 100.0::double, 2) bucket from d"""
+)
+def rollout_bucket(spark, sf_dir):
+    users = _read(spark, sf_dir, "events").select("user_id").distinct()
+    return users.select("user_id", F.round(T.rollout(F.col("user_id"), "fast", "loom"), 2).alias("bucket"))
+
+
+# URLs
+
+
+@_query(
+    rf"""with p as (select page_id, url, trim({_PATH % 'url'}, '/') path, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) host from pages)
+    select page_id, host "domain", regexp_matches(url, '^(?i:https?)://[^/?#]+') valid,
+    regexp_replace(regexp_replace('https://user:pw@' || host || '/a?b=1#frag', '#.*$', ''), '^([^:/?#]+://)[^/?#@]*@([^/?#@]*)', '\1\2') sanitized,
+    case when ends_with(n, '.json') then n else regexp_replace(n, '\.[^.]*$', '') || '.json' end file_name,
+    regexp_replace(coalesce(nullif(string_split(path, '/')[-1], ''), host), '[\\/*?:"<>|]', '_', 'g') || '.xml' short_name
+    from (select *, regexp_replace(coalesce(nullif(path, ''), 'index'), '[\\/*?:"<>|]', '_', 'g') n from p)"""
+)
+def url_functions(spark, sf_dir):
+    u = F.col("url")
+    dirty = F.concat(F.lit("https://user:pw@"), urls.host(u), F.lit("/a?b=1#frag"))
+    return _read(spark, sf_dir, "pages").select(
+        "page_id", urls.domain(u).alias("domain"), urls.is_valid(u).alias("valid"), urls.sanitize(dirty).alias("sanitized"), urls.file_name(u, F.lit("json")).alias("file_name"), urls.short_name(u, F.lit("xml")).alias("short_name")
+    )
+
+
+@_query(
+    r"""select page_id, regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || '/x/c.html?q=1' up, regexp_extract(url, '^([^:/?#]+:)', 1) || '//h/z' scheme, 'http://o/' absolute from pages"""
+)
+def url_resolve(spark, sf_dir):
+    u = F.concat(F.regexp_extract("url", "^([^:/?#]+://[^/?#]*)", 1), F.lit("/x/y/z.html"))
+    return _read(spark, sf_dir, "pages").select("page_id", urls.resolve(u, F.lit("../c.html?q=1")).alias("up"), urls.resolve(u, F.lit("//h/z")).alias("scheme"), urls.resolve(u, F.lit("http://o/")).alias("absolute"))
+
+
+@_query(
+    """with s as (select page_id ordinal, url loc, case when page_id % 5 = 0 then null else (page_id % 10) / 10.0::double end priority from pages)
+    select ordinal, loc from s where (priority is null or priority >= 0.3) and regexp_matches(loc, 'example\\.com|/en/') and not regexp_matches(loc, '#') order by ordinal limit 100""".replace("\\\\", "\\")
+)
+def filter_urls(spark, sf_dir):
+    rows = _sitemap(spark, sf_dir)
+    return sitemaps.filter_urls(rows, 0.3, (r"example\.com", "/en/"), ("#",), 100).select("ordinal", "loc")
+
+
+def _sitemap(spark, sf_dir) -> DataFrame:
+    return _read(spark, sf_dir, "pages").select(F.col("page_id").alias("ordinal"), F.col("url").alias("loc"), F.when(F.col("page_id") % 5 != 0, (F.col("page_id") % 10) / 10.0).alias("priority"), F.lit("2024-01-01").alias("lastmod"))
+
+
+@_query("select page_id ordinal, url || case when page_id % 5 = 0 then '' else ',' || ((page_id % 10) / 10.0::double) end || ',2024-01-01' line from pages")
+def export_urls(spark, sf_dir):
+    return _sitemap(spark, sf_dir).select("ordinal", sitemaps.export_line().alias("line"))
+
+
+@_query("select page_id site, page_id % 7 ordinal, replace(url, '&', '&amp;') raw, url loc, '2024-01-02' lastmod, case when page_id % 2 = 0 then 0.5::double end priority from pages")
+def sitemap_parse(spark, sf_dir):
+    """Sitemaps of as many entries as a page's number leaves over; the last one's columns."""
+    raw = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    priority = F.when(F.col("page_id") % 2 == 0, F.lit("0.5")).otherwise(F.lit("high"))
+    blank = F.repeat(F.lit("<url><loc>http://a/</loc></url>"), (F.col("page_id") % 7).cast("int"))
+    entry = F.concat(F.lit("<?xml version='1.0'?><urlset>"), blank, F.lit("<url><loc> "), raw, F.lit(" </loc><lastmod>2024-01-02</lastmod><priority>"), priority, F.lit("</priority></url></urlset>"))
+    rows = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("site"), raw.alias("raw"), entry.alias("content"))
+    return sitemaps.parse(rows).where("lastmod is not null").select("site", F.col("ordinal").cast("long").alias("ordinal"), "raw", "loc", "lastmod", "priority")
+
+
+@_query("select page_id site, url || '/s.xml' sitemap from pages where page_id % 2 = 0")
+def robots_sitemaps(spark, sf_dir):
+    body = F.concat(F.lit("User-agent: *\n"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("SiteMap:  "), "url", F.lit("/s.xml \n"))).otherwise(F.lit("# sitemap: no\n")))
+    return sitemaps.from_robots(_read(spark, sf_dir, "pages").select(F.col("page_id").alias("site"), body.alias("text")))
+
+
+@_query("select url from pages where page_id % 2 = 0")
+def link_lines(spark, sf_dir):
+    text = F.concat(F.lit("# c\n\n"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("  "), "url", F.lit(" \n"))).otherwise(F.lit("#x")))
+    return sitemaps.lines(_read(spark, sf_dir, "pages").select(text.alias("text"))).select("url")
+
+
+# HTML
+
+_ROOT = "regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1)"
+
+
+@_query(rf"""select page_id, list_sort(list_distinct(list_transform(regexp_extract_all(html, '<a href="(/[^"]*)"', 1), lambda x: {_ROOT} || x))) links from pages""")
+def html_links(spark, sf_dir):
+    return html.convert(_read(spark, sf_dir, "pages"), "links", keep=("page_id",))
+
+
+@_query("select page_id, trim(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) title, '' description from pages")
+def html_metadata(spark, sf_dir):
+    return html.convert(_read(spark, sf_dir, "pages"), "metadata", keep=("page_id",)).select("page_id", "metadata.title", "metadata.description")
+
+
+@_query("select page_id, regexp_extract(html, '(?s)<article>.*</article>') main_html from pages")
+def html_main(spark, sf_dir):
+    return html.convert(_read(spark, sf_dir, "pages"), "main_html", keep=("page_id",))
+
+
+@_query(
+    """select page_id, regexp_replace(html, '(?s)<(?:style|script|nav|footer)>.*?</(?:style|script|nav|footer)>|<div class="ad">.*?</div>', '', 'g') clean_html
+    from (select page_id, replace(html, '<script>var t="</p>";', '<script>') html from pages)"""
+)
+def html_clean(spark, sf_dir):
+    return html.convert(_read(spark, sf_dir, "pages"), "clean_html", keep=("page_id",))
+
+
+@_query()
+def html_document(spark, sf_dir):
+    rows = html.convert(_read(spark, sf_dir, "pages"), "document", keep=("page_id",))
+    return rows.select("page_id", "document", html.render(F.col("document")).alias("markdown"), F.to_json("document", {"pretty": "true"}).alias("json"), html.document_xml(F.col("document")).alias("xml"))
+
+
+@_query()
+def html_markdown(spark, sf_dir):
+    return html.convert(_read(spark, sf_dir, "pages"), "markdown", keep=("page_id",))
+
+
+@_query()
+def html_formats(spark, sf_dir):
+    return html.convert(_read(spark, sf_dir, "pages"), "json", "xml", "blocks", "text", keep=("page_id",))
+
+
+@_query()
+def markdown_document(spark, sf_dir):
+    return html.markdown_document(_marked(spark, sf_dir), "md", "url", keep=("doc_id",))
+
+
+@_query(r"""select doc_id, trim(string_split(text, chr(10))[1]) title from documents where not regexp_matches(string_split(text, chr(10))[1], '[\x0b-\x1f\x85\xa0]') and trim(string_split(text, chr(10))[1]) <> ''""")
+def document_titles(spark, sf_dir):
+    first = F.split("content", "\n")[0]
+    rows = _docs(spark, sf_dir).where(~first.rlike(r"[\x0b-\x1f\x85\xa0]") & (F.trim(first) != ""))
+    return rows.select("doc_id", T.title(F.concat(F.lit("# "), "content"), F.col("url")).alias("title"))
+
+
+@_query("select page_id, len(regexp_extract_all(html, '<a '))::int links, len(regexp_extract_all(html, '<p>'))::int paragraphs from pages")
+def page_counts(spark, sf_dir):
+    rows = html.convert(_read(spark, sf_dir, "pages"), "blocks", keep=("page_id",))
+    count = lambda kind: F.size(F.filter("blocks", lambda b: b["type"] == kind))
+    return rows.select("page_id", count("a").alias("links"), count("p").alias("paragraphs"))
+
+
+# Embeddings
+
+_TERMS = "terms as (select doc_id id, unnest(regexp_extract_all(lower(text), '[0-9A-Za-z_]{2,}')) term from documents)"
+
+
+@_query(
+    f"""with {_TERMS}, c as (select id, term, count(*) n from terms where term not in ({", ".join(repr(w) for w in embedding.STOP_WORDS)}) group by all),
+    v as (select term, sum(n) total, count(*) df from c group by term order by total desc, term limit 1024),
+    w as (select id, term, n * (ln((1 + (select count(*) from documents))::double / (1 + df)) + 1) w from c join v using (term))
+    select id, term, round(w / sqrt(sum(w * w) over (partition by id)), 9) weight from w"""
+)
+def tf_idf(spark, sf_dir):
+    return embedding.tf_idf(_read(spark, sf_dir, "documents")).select("id", "term", F.round("weight", 9).alias("weight"))
+
+
+@_query(
+    f"""with w as (select doc_id id, {_W % 'lower(text)'} ws from documents), t as (select id, unnest(ws) term, generate_subscripts(ws, 1) p from w),
+    c as (select id, term, count(*) n, min(p) p from t group by all), v as (select term from (select term, min((id, p)) s from c group by term) order by s limit 512)
+    select id, term, round(n / sqrt(sum(n * n) over (partition by id)), 9) weight from c join v using (term)"""
+)
+def count_vectors(spark, sf_dir):
+    return embedding.count_vectors(_read(spark, sf_dir, "documents")).select("id", "term", F.round("weight", 9).alias("weight"))
+
+
+@_query("with c as (select distinct sha256(text) h from documents where doc_id % 2 = 0) select distinct sha256(text) text_hash, text from documents where sha256(text) not in (select h from c)")
+def cache_misses(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    cache = docs.where("doc_id % 2 = 0").select(F.lit("hashed").alias("model"), F.sha2("text", 256).alias("text_hash"))
+    return embedding.missing(docs, cache, "hashed")
+
+
+@_query("select doc_id, true has_embedding from documents")
+def embed_chunks(spark, sf_dir):
+    return files.without_vectors(embedding.embed(_read(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "has_embedding")
+
+
+@_query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) norm from embeddings")
+def vector_norms(spark, sf_dir):
+    return _read(spark, sf_dir, "embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"))
+
+
+# Search
+
+_COS = f"({_DOT % ('a.embedding', 'b.embedding')}) / (sqrt({_DOT % ('a.embedding', 'a.embedding')}) * sqrt({_DOT % ('b.embedding', 'b.embedding')}))"
+
+
+@_query(
+    f"""with q as (select embedding from embeddings where vec_id = 0)
+    select vec_id, label, round(score, 6) score from (select a.vec_id, a.label, {_COS} score from embeddings a, q b where a.label in (0, 1, 2) and a.label <> 1)
+    where score >= 0.1 order by score desc, vec_id limit 10"""
+)
+def vector_top_k(spark, sf_dir):
+    points = _read(spark, sf_dir, "embeddings")
+    query = [float(x) for x in points.where("vec_id = 0").first()["embedding"]]
+    where = {"must": [{"key": "label", "range": {"gte": 0, "lte": 2}}], "must_not": [{"key": "label", "match": {"value": 1}}]}
+    return search.top_k(points, query, 10, 0.1, where).select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@_query(
+    f"""select query_id, id, rank, round(score, 6) score from (select b.vec_id query_id, a.vec_id id, {_COS} score, row_number() over (partition by b.vec_id order by {_COS} desc, a.vec_id)::int as "rank"
+    from embeddings a, embeddings b where b.label = 0) where rank <= 5 and score >= 0"""
+)
+def vector_top_k_each(spark, sf_dir):
+    points = _read(spark, sf_dir, "embeddings")
+    queries = points.where("label = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return search.top_k_each(points, queries, 5, 0.0).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@_query(
+    rf"""with d as (select doc_id, list_distinct({_W % 'lower(text)'}) t, len({_W % 'lower(text)'}) n from documents), q as (select list_distinct({_W % 'lower(text)'}) q from benchmark where item_id = 1)
+    select doc_id, round(0.8::double * 0.7 + len(list_intersect(q, t))::double / len(q) * 0.2 + least(1.0, 200.0::double / greatest(n, 1)) * 0.1, 9) score from d, q order by score desc, doc_id limit 50"""
+)
+def rerank(spark, sf_dir):
+    query = _read(spark, sf_dir, "benchmark").where("item_id = 1").first()["text"]
+    hits = _read(spark, sf_dir, "documents").select("doc_id", F.lit(0.8).alias("score"), "text", (-F.col("doc_id")).alias("o"))
+    scored = hits.withColumn("score", F.round(search.rerank_score(F.col("score"), F.lit(query), F.col("text")), 9))
+    return scored.orderBy(F.desc("score"), "doc_id").limit(50).select("doc_id", "score")
+
+
+@_query("""select source, string_agg('DOCUMENT ' || r || ':' || chr(10) || text, chr(10) || chr(10) order by r) context from (select source, text, row_number() over (partition by source order by doc_id) r from documents) group by source""")
+def context_assembly(spark, sf_dir):
+    return search.context(_read(spark, sf_dir, "documents"), ["source"], "doc_id", "text")
+
+
+@_query(
+    """select conv_id, turn, role, case when l is null then '' else 'PREVIOUS CONVERSATION:' || chr(10) || l end history from (
+    select conv_id, turn, role, string_agg(upper(role) || ': ' || text, chr(10)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) l from conversations)"""
+)
+def chat_history(spark, sf_dir):
+    return search.history(_read(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", "history")
+
+
+@_query("select d.doc_id, quality, toxic from documents d join labels l using (doc_id) where (quality = 1 or toxic = 1) and not (toxic = 1 and quality = 1) ")
+def payload_filter(spark, sf_dir):
+    rows = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id")
+    both = {"must": [{"key": "quality", "match": {"value": 1}}, {"key": "toxic", "match": {"value": 1}}]}
+    spec = {"should": [{"key": "quality", "match": {"value": 1}}, {"key": "toxic", "match": {"any": [1]}}], "must_not": [both]}
+    return rows.where(search.condition(spec)).select("doc_id", "quality", "toxic")
+
+
+# Store
+
+
+@_query("select vec_id, case when vec_id % 3 = 0 then label + 100 else label end::int label from embeddings")
+def store_upsert(spark, sf_dir):
+    old = _read(spark, sf_dir, "embeddings").select("vec_id", "label", F.lit(0).alias("seq"))
+    new = old.where("vec_id % 3 = 0").select("vec_id", F.explode(F.array(F.struct((F.col("label") + 50).alias("label"), F.lit(1).alias("seq")), F.struct((F.col("label") + 100).alias("label"), F.lit(2).alias("seq")))).alias("x")).select("vec_id", "x.*")
+    return store.upsert(old, new, "vec_id", "seq").select("vec_id", "label")
+
+
+@_query("select vec_id, label from embeddings where vec_id % 3 <> 0 and label <> 2")
+def store_delete(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return store.delete_where(store.delete_keys(rows, rows.where("vec_id % 3 = 0"), "vec_id"), {"must": [{"key": "label", "match": {"value": 2}}]})
+
+
+@_query("select user_id, event_id, ts from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) k from events) where k <= 20")
+def evict_by_count(spark, sf_dir):
+    return store.evict_count(_read(spark, sf_dir, "events"), 20, "ts", "event_id", "user_id").select("user_id", "event_id", "ts")
+
+
+@_query(
+    """with b as (select *, octet_length(props::blob) size from events), r as (select *, coalesce(sum(size) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0) gone,
+    sum(size) over (partition by user_id) - 200 excess from b) select user_id, event_id, size::int size from r where excess <= 0 or gone >= excess"""
+)
+def evict_by_bytes(spark, sf_dir):
+    rows = files.with_storage_flags(_read(spark, sf_dir, "events"), "props")
+    return store.evict_bytes(rows, 200, key="event_id", by="user_id").select("user_id", "event_id", "size")
+
+
+@_query(
+    f"""with {_EVENTS}, p as (select *, last_value(case when event_type = 'purchase' then t end ignore nulls) over (partition by user_id order by ts rows between unbounded preceding and 1 preceding) w from ev)
+    select event_id, coalesce(t - w <= 86400000000, false) hit from p"""
+)
+def ttl_cache(spark, sf_dir):
+    return store.cache_hits(_events(spark, sf_dir).withColumn("is_write", F.col("event_type") == "purchase"), 86_400, "user_id").select("event_id", "hit")
+
+
+@_query("select page_id, case when contains(url, '/en/') then 60.0::double when regexp_matches(url, '\\.org') then 30.0::double else 10.0::double end ttl from pages".replace("\\\\", "\\"))
+def ttl_patterns(spark, sf_dir):
+    return store.first_match(_read(spark, sf_dir, "pages"), [("/en/", 60), (r"\.org", 30)], "url", 10).select("page_id", "ttl")
+
+
+@_query("with h as (select page_id, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) h from pages) select page_id, case when h = 'therha.example.com' then 1.0::double when ends_with(h, '.example.org') then 2.0::double else 10.0::double end as \"limit\" from h")
+def domain_limits(spark, sf_dir):
+    rows = _read(spark, sf_dir, "pages").withColumn("domain", urls.domain(F.col("url")))
+    return store.domain_limit(rows, {"*.example.org": 2, "therha.example.com": 1}, 10).select("page_id", "limit")
+
+
+@_query("select event_id from events where not (ts < timestamp '2024-01-10' and event_type = 'view')")
+def cache_invalidate(spark, sf_dir):
+    import datetime
+
+    return store.invalidate(_read(spark, sf_dir, "events"), datetime.datetime(2024, 1, 10), "view", key="event_type").select("event_id")
+
+
+# Statistics
+
+
+@_query(
+    f"""with {_EVENTS}, r as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) k from ev)
+    select user_id, count(*) requests, count(*) filter (ok) successes, count(*) filter (not ok) errors, round(avg(value) filter (k <= 100), 9) recent_seconds, round(avg(value), 9) mean_seconds,
+    round(count(*) filter (ok) / count(*), 9) success_rate, count(*) filter (event_type = 'view') views from r group by user_id"""
+)
+def domain_stats(spark, sf_dir):
+    out = stats.domain_stats(_events(spark, sf_dir), "user_id", tie="event_id", seconds="value", status="event_type")
+    return out.select("user_id", "requests", "successes", "errors", F.round("recent_seconds", 9).alias("recent_seconds"), F.round("mean_seconds", 9).alias("mean_seconds"), F.round("success_rate", 9).alias("success_rate"), F.coalesce(out["statuses"]["view"], F.lit(0)).alias("views"))
+
+
+@_query("select count(*) filter (event_type = 'view') hits, count(*) filter (event_type <> 'view') misses, round(count(*) filter (event_type = 'view') / count(*), 9) hit_rate from events")
+def cache_stats(spark, sf_dir):
+    total, _ = stats.cache_stats(_events(spark, sf_dir).withColumn("hit", F.col("event_type") == "view"), key="user_id")
+    return total.withColumn("hit_rate", F.round("hit_rate", 9))
+
+
+@_query("select user_id, count(*) n from events group by user_id order by n desc, user_id limit 5")
+def top_keys(spark, sf_dir):
+    return stats.cache_stats(_events(spark, sf_dir).withColumn("hit", F.col("ok")), key="user_id")[1]
+
+
+@_query(
+    f"""with {_EVENTS}, w as (select *, count(*) over r n, min(t) over r f from ev window r as (partition by user_id order by t range between 86400000000 preceding and current row))
+    select event_id, n in_window, n <= 3 allowed, case when n <= 3 then 0.0::double else (86400000000 - (t - f)) / 1e6 end wait from w"""
+)
+def rate_limit(spark, sf_dir):
+    return stats.rate_limit(_events(spark, sf_dir), 3, 86_400, "user_id").select("event_id", "in_window", "allowed", "wait")
+
+
+@_query("select event_id, round(avg(value) over (partition by user_id order by ts, event_id rows between 99 preceding and current row), 9) rolling from events")
+def rolling_mean(spark, sf_dir):
+    return stats.rolling_mean(_events(spark, sf_dir), "value", "user_id", ("ts", "event_id")).select("event_id", F.round("rolling", 9).alias("rolling"))
+
+
+@_query(
+    f"""with {_EVENTS}, g as (select *, sum(ok::int) over (partition by user_id order by ts, event_id rows unbounded preceding) g from ev),
+    n as (select *, sum((not ok)::int) over (partition by user_id, g order by ts, event_id rows unbounded preceding)::bigint n from g)
+    select event_id, n errors_in_row, case when n > 1 then least(60.0, 2.0 * pow(2.0, n - 1)) else 0.0 end::double pause, case when n >= 3 then least(60.0, pow(2.0, n - 2)) else 0.0 end::double parallel_pause from n"""
+)
+def error_backoff(spark, sf_dir):
+    rows = stats.error_runs(_events(spark, sf_dir), key="user_id", order=("ts", "event_id"))
+    return rows.select("event_id", "errors_in_row", stats.backoff(F.col("errors_in_row")).alias("pause"), stats.backoff(F.col("errors_in_row"), parallel=True).alias("parallel_pause"))
+
+
+@_query(
+    f"""with {_EVENTS}, u as (select user_id, avg(value) / 10 m, count(*) filter (not ok) e, count(*) n from ev group by user_id)
+    select user_id, case when e / n > 0.1 then 2.5::double else 5.0::double end adapted, case when n > 10 and e / n > 0.2 then 2.5::double when n > 10 and e / n > 0.1 then 3.75::double else 5.0::double end tiered from u"""
+)
+def adaptive_rate(spark, sf_dir):
+    rows = stats.domain_stats(_events(spark, sf_dir), "user_id", tie="event_id", seconds="value", status="event_type")
+    limit = F.lit(5.0)
+    return rows.select("user_id", stats.adapted_rate(limit, F.col("mean_seconds") / 10, F.col("errors") / F.col("requests")).alias("adapted"), stats.tiered_rate(limit, F.col("requests"), F.col("errors")).alias("tiered"))
+
+
+@_query(f"with {_EVENTS}, g as (select event_id, (t - lag(t) over (partition by user_id order by ts, event_id)) / 1e6 gap from ev) select event_id, gap, coalesce(greatest(0.0::double, 3600.0 - gap), 0.0::double) pause from g")
+def request_gaps(spark, sf_dir):
+    return stats.gaps(_events(spark, sf_dir), 1 / 3600, "user_id", tie="event_id").select("event_id", "gap", F.round("pause", 6).alias("pause"))
+
+
+@_query(
+    f"""with {_EVENTS} select time_bucket(interval 1 day, ts) "start", user_id, count(*) requests, count(*) filter (not ok) errors, round(avg(value), 9) mean_value from ev group by all"""
+)
+def windowed_stats(spark, sf_dir):
+    out = streams.windowed_stats(_events(spark, sf_dir), "1 day")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "requests", "errors", F.round("mean_value", 9).alias("mean_value"))
+
+
+@_query()
+def pages_to_chunks(spark, sf_dir):
+    """Pages extracted and chunked."""
+    return pipeline.chunk(pipeline.extract(_read(spark, sf_dir, "pages")), pipeline.Config())
+
+
+@_query("select page_id, url from pages where regexp_matches(url, '^(?i:https?)://[^/?#]+') and not starts_with(url, 'http://t') order by page_id limit 20")
+def failed_urls(spark, sf_dir):
+    """The first 20 valid URLs that aren't among those that succeeded."""
+    rows = sitemaps.valid(_read(spark, sf_dir, "pages").select("page_id", "url"), "url")
+    return rows.join(rows.where(F.startswith("url", F.lit("http://t"))), "page_id", "left_anti").orderBy("page_id").limit(20)
+
+
+@_query("select source, min(doc_id) doc_id, count(*) n from documents where doc_id in (select doc_id from labels) group by source")
+def first_of_each(spark, sf_dir):
+    rows = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id", "left_semi").select("source", "doc_id")
+    found = sitemaps.first_found(rows, "source", "doc_id")
+    return found.join(rows.groupBy("source").agg(F.count("*").alias("n")), "source").withColumn("_k", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("_k = 1").drop("_k")
