@@ -97,7 +97,7 @@ class _Reader(DataSourceReader):
         for path in files:
             size = os.path.getsize(path)
             ranges += [ByteRange(path, a, min(a + self.range_bytes, size)) for a in range(0, max(1, size), self.range_bytes)]
-        return ranges
+        return ranges or [ByteRange("", 0, 0)]
 
     def _content(self, path: str, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
         for k in range(self.tries):
@@ -110,6 +110,8 @@ class _Reader(DataSourceReader):
         return None, why
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
+        if not part.path:  # a folder without archives
+            return
         archive = os.path.relpath(part.path, self.path)
         rows: list[tuple] = []
 
