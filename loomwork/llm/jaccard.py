@@ -4,9 +4,9 @@ Every text's set of word n-grams is sketched once; texts with equal sets become
 ``TREES`` trees holds the nodes' signatures of ``DEPTH`` values in sorted order, a prefix trie: one
 sort per tree gives, by the length of the prefix shared with the row before, the trie's branches at
 every depth. The join starts at the deepest prefixes and shortens them until the estimated recall
-reaches the target. The estimate weighs each pair found at a depth by the inverse of its chance to be
-found there, so it follows how similar the corpus's pairs in fact are; the depth at which the
-threshold itself meets the target is the floor.
+reaches the target. The depth at which the threshold itself meets the target is the floor. The estimate
+takes the pairs found there, weighed by the inverse of their chance to be found, and the chance of
+each to share a deeper prefix, so it follows how similar the corpus's pairs in fact are.
 
 Nodes that share a branch are gathered by connected component, and within a component all pairs are
 verified exactly, by counting common n-grams with a matrix product over the n-grams that two or more
@@ -114,10 +114,13 @@ def _branches(sketch: DataFrame, threshold: float, recall: float) -> tuple[DataF
     pairs = found.join(one, "a").join(two, "b")
     equal = F.aggregate(F.sequence(F.lit(0), F.lit(TREES * DEPTH - 1)), F.lit(0), lambda s, k: s + (F.substr("low_a", k * 2 + 1, F.lit(2)) == F.substr("low_b", k * 2 + 1, F.lit(2))).cast("int"))
     alike = F.greatest((equal / (TREES * DEPTH) - 1 / 256) / (1 - 1 / 256), F.lit(0.0))
-    pairs = pairs.select(F.explode("depths").alias("depth"), alike.alias("s")).where(F.col("s") >= threshold)
-    weight = 1 / (1 - F.pow(1 - F.pow("s", F.col("depth")), F.lit(TREES)))
-    estimate = {r["depth"]: r["n"] / r["all"] for r in pairs.groupBy("depth").agg(F.count("*").alias("n"), F.sum(weight).alias("all")).collect()}
-    depth = next((d for d in reversed(depths) if estimate.get(d, 1.0) >= recall), floor)
+    # The floor finds nearly all pairs, so it shows how similar they are; of those around the threshold
+    # the sketch can't say on which side they lie, so they count as lying on it.
+    pairs = pairs.where(F.array_contains("depths", floor)).select(alike.alias("s")).where(F.col("s") >= threshold - 0.1).select(F.greatest("s", F.lit(threshold)).alias("s"))
+    found_at = lambda d: 1 - F.pow(1 - F.pow("s", F.lit(d)), F.lit(TREES))
+    sums = pairs.agg(F.sum(1 / found_at(floor)).alias("all"), *(F.sum(found_at(d) / found_at(floor)).alias(f"n_{d}") for d in depths)).first()
+    estimate = {d: sums[f"n_{d}"] / sums["all"] for d in depths} if sums["all"] else {}
+    depth = next((d for d in reversed(depths) if estimate.get(d, 0.0) >= recall), floor)
     return found.where(F.array_contains("depths", depth)).select("a", "b"), depth, estimate
 
 
