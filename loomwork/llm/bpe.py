@@ -362,5 +362,5 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents encoded, each decoded again and compared."""
+    """All documents encoded; the ids of every slice are decoded again and compared as they are made."""
     return encode(table(spark, sf_dir, "documents"), default_vocabulary())

@@ -7,7 +7,8 @@ cover the histogram. It is solved by multiplicative weights: a length's price is
 capacity times an exponential of how far its cover lags; a knapsack dynamic program finds the dearest
 configuration; lengths that are covered leave. Cover is rounded down to whole sequences as it is
 given out, and what remains is packed best fit, longest first, on the histogram, also into the room
-that configurations leave.
+that configurations leave. Best fit alone is kept if it needs fewer sequences, as on small corpora, where
+rounding costs more than the program gains.
 
 Scale: texts are read once; what travels are lengths. The driver gets ``capacity`` histogram rows and
 its work doesn't grow with the corpus. Places within a length are handed out by rank, and ranks come
@@ -49,7 +50,7 @@ def _dearest(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int,
     least = int(sizes[0])
     for room in range(least, capacity + 1):
         value = best[room - sizes[: upto[room]]] + prices[: upto[room]]
-        k = int(value.argmax())
+        k = len(value) - 1 - int(value[::-1].argmax())  # of equal ones the longest
         if value[k] > best[room - 1]:
             best[room], pick[room] = value[k], k
         else:
@@ -128,6 +129,9 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
         made[key] = made.get(key, 0) + n
     left = {int(s): int(n) for s, n in zip(sizes, lag) if n >= 1}
     packed = _best_fit(left, [(dict(k), n) for k, n in made.items()], capacity)
+    # Where most lengths occur a few times, rounding costs more than the program gains.
+    plain = _best_fit({int(s): int(histogram[int(s)]) for s in sizes}, [], capacity)
+    packed = min(packed, plain, key=lambda p: sum(n for _, n in p))
     return packed + [({s: 1}, n) for s, n in whole.items()]
 
 
