@@ -82,13 +82,16 @@ def candidates(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
         begin, end = begin[mixed], end[mixed]
     data = raw.tobytes()
     found = list(zip(begin.tolist(), end.tolist()))
-    spans = [(m.start(), *m.span(0)) for m in _HEADER.finditer(data)]
-    for at in np.flatnonzero((raw == 61) | (raw == 58)).tolist():  # = and :
-        if (m := _IN_URL.match(data, at)) or (_NAME.search(data[max(0, at - 24) : at]) and (m := _VALUE.match(data, at))):
-            spans.append((at, *m.span(1)))
-    for at, a, b in spans:
-        if b <= off[np.searchsorted(off, at, "right")]:
-            found.append((a, b))
+    # All rows' bytes are joined, so each pattern sees only those of its own row.
+    marks = np.array([m.start() for m in re.finditer(rb"-----BEGIN ", data)], np.int64)
+    for at, last in zip(marks.tolist(), off[np.searchsorted(off, marks, "right")].tolist()):
+        if m := _HEADER.match(data, at, last):
+            found.append(m.span())
+    marks = np.flatnonzero((raw == 61) | (raw == 58))  # = and :
+    row = np.searchsorted(off, marks, "right")
+    for at, start, last in zip(marks.tolist(), off[row - 1].tolist(), off[row].tolist()):
+        if (m := _IN_URL.match(data, at, last)) or (_NAME.search(data[max(start, at - 24) : at]) and (m := _VALUE.match(data, at, last))):
+            found.append(m.span(1))
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if out and a < out[-1][1]:

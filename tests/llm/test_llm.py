@@ -179,6 +179,22 @@ def test_secret_scan_of_tables(spark, awkward, empty):
     assert secret_scan.scan(empty).count() == 0 and secret_scan.scan(awkward).count() == 0
 
 
+def candidate_texts(texts):
+    data = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    row, begin, end = secret_scan.candidates(np.frombuffer(b"".join(data), np.uint8), off)
+    return sorted((texts[r], data[r][a - off[r] : b - off[r]].decode()) for r, a, b in zip(row, begin, end))
+
+
+def test_secret_candidates_keep_to_their_row():
+    texts = ["db pwd=Tr0ub4dor&3", "The next text", "see ftp://me:hun!er!", "2@host", "é -----BEGIN PRIVATE KEY-----\nMII", "a -----END PRIVATE KEY-----", "my password", "=N0t&Assigned", "", "pwd: 8!bytes!"]
+    alone = sorted(x for t in texts for x in candidate_texts([t]))
+    assert [c for _, c in alone] == ["Tr0ub4dor&3", "8!bytes!", "-----BEGIN PRIVATE KEY-----"]
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        assert candidate_texts([texts[k] for k in rng.permutation(len(texts))]) == alone
+
+
 def test_packing(spark, awkward, empty):
     docs = spark.createDataFrame(rows_of([*corpus(), (901, words(np.random.default_rng(9), 3000))]), SCHEMA)
     counts = {r["doc_id"]: r["n"] for r in packing.token_counts(docs, VOCABULARY).collect()}
