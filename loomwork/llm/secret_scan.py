@@ -1,16 +1,17 @@
 """Secret scan: a character convolutional network over every candidate and its surroundings.
 
 Candidates are found in numpy: runs of 16 or more token characters that hold both a letter and a
-digit, values of 8 or more characters assigned to a name that speaks of a credential, passwords in
-URLs, and private key headers. Each becomes a window of ``LEFT`` bytes before it, the candidate
+digit or the opening of an issued token, values of 8 or more characters assigned to a name that
+speaks of a credential, passwords in URLs, and private key headers. Each becomes a window of ``LEFT`` bytes before it, the candidate
 (``MIDDLE`` bytes; of a longer one the head and the tail, while its statistics cover all of it) and
 ``RIGHT`` bytes after it. Two convolutions with pooling, over learnt character vectors, feed a
 logistic output together with those statistics.
 
 The network is trained in numpy on labelled findings that ``findings`` makes from a seed: credentials
 of many issuers and forms, and the look-alikes that scans trip over (checksums, commits, identifiers,
-addresses, numbers, placeholders). A held-out part fits Platt's scaling and then the threshold: the
-highest one that keeps the recall asked for. Training is the same for any corpus; a corpus's own
+addresses, numbers, placeholders), each as the candidate that covers it in its text. A held-out part
+fits Platt's scaling and then the threshold: the highest one that keeps the recall asked for, of all
+secrets, those that are no candidate included. Training is the same for any corpus; a corpus's own
 labelled findings can be passed instead.
 
 Scale: one map over the texts, no shuffle; the network is a few kilobytes in the tasks' closure.
@@ -48,7 +49,9 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[[*b"0123456789"]] = True
 _ALPHA = np.zeros(256, bool)
 _ALPHA[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
-_NAME = re.compile(rb"(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|credential)s?[\"']?[ \t]{0,4}\Z")
+_NAME = re.compile(rb"(?i:passw(?:or)?d|passphrase|pwd|secret|token|(?:api|access|secret|private|encryption|decryption|signing|signature|auth|master|session|service|account|client|storage|ssh|rsa|hmac|aes|deploy|webhook)[_-]?key|credential)s?[\"']?[ \t]{0,4}\Z")
+#: Openings of issued tokens, which may happen to hold no digit.
+_ISSUED = re.compile(rb"AKIA|gh[oprsu]_|sk_live_|xox[abprs]-|AIza|SG\.|glpat-|eyJ")
 _VALUE = re.compile(rb"(?:=>|[:=]=?)[ \t]*[\"']?([^\s\"',;<>]{8,})")
 _IN_URL = re.compile(rb"://[^\s:/@]+:([^\s:/@]{6,})@")
 _HEADER = re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----)?")
@@ -75,12 +78,13 @@ def candidates(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     end = np.flatnonzero(token[1:-1] & (~token[2:] | edge[1:])) + 1
     long = end - begin >= 16
     begin, end = begin[long], end[long]
+    data = raw.tobytes()
     if len(begin):
         digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
         alphas = np.concatenate([[0], np.cumsum(_ALPHA[raw])])
         mixed = (digits[end] > digits[begin]) & (alphas[end] > alphas[begin])
+        mixed[~mixed] = [_ISSUED.search(data, a, b) is not None for a, b in zip(begin[~mixed].tolist(), end[~mixed].tolist())]
         begin, end = begin[mixed], end[mixed]
-    data = raw.tobytes()
     found = list(zip(begin.tolist(), end.tolist()))
     # All rows' bytes are joined, so each pattern sees only those of its own row.
     marks = np.array([m.start() for m in re.finditer(rb"-----BEGIN ", data)], np.int64)
@@ -102,6 +106,17 @@ def candidates(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.searchsorted(off, begin, "right") - 1, begin, end
 
 
+def covering(raw: np.ndarray, off: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For spans, one in each row: first and last byte of the candidate that covers it, and whether there
+    is one; else the span stays as it is."""
+    _, first, last = candidates(raw, off)
+    if not len(first):
+        return begin, end, np.zeros(len(begin), bool)
+    at = np.maximum(np.searchsorted(first, begin, "right") - 1, 0)
+    seen = (first[at] <= begin) & (last[at] >= end)
+    return np.where(seen, first[at], begin), np.where(seen, last[at], end), seen
+
+
 def windows(raw: np.ndarray, off: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols around the candidates and statistics of them."""
     k = np.arange(WIDTH)
@@ -195,7 +210,7 @@ def train(found: list[tuple[str, int, int, bool]], recall: float = RECALL, epoch
     off = np.concatenate([[0], np.cumsum([len(d) for d in data])])
     raw = np.frombuffer(b"".join(data), np.uint8)
     row = np.arange(len(found))
-    begin, end = off[:-1] + [f[1] for f in found], off[:-1] + [f[2] for f in found]
+    begin, end, seen = covering(raw, off, off[:-1] + [f[1] for f in found], off[:-1] + [f[2] for f in found])
     symbols, stats = windows(raw, off, row, begin, end)
     truth = np.array([f[3] for f in found], np.float32)
     order = rng.permutation(len(found))
@@ -223,8 +238,9 @@ def train(found: list[tuple[str, int, int, bool]], recall: float = RECALL, epoch
         p = 1 / (1 + np.exp(-np.clip(a * logit + b, -50, 50)))
         a, b = a - 0.5 * np.mean((p - soft) * logit) / max(1.0, np.mean(logit**2)), b - 0.5 * np.mean(p - soft)
     net.scale = float(a), float(b)
-    good = np.sort(net.scores(symbols[rest], stats[rest])[held > 0])
-    net.threshold = float(min(0.5, good[int((1 - recall) * len(good))])) if len(good) else 0.5
+    good = np.sort(net.scores(symbols[rest], stats[rest])[(held > 0) & seen[rest]])
+    lost = int(held.sum()) - len(good)
+    net.threshold = float(min(0.5, good[max(0, int((1 - recall) * held.sum()) - lost)])) if len(good) else 0.5
     return net
 
 

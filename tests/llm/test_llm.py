@@ -151,6 +151,20 @@ def test_secrets_held_out():
     assert said[truth].mean() >= 0.95 and said[~truth].mean() <= 0.05
 
 
+def test_secrets_found_end_to_end():
+    for name in ("secret_key", "SECRET-KEY", "private_key", "encryption_key", "signingKey", "api_key"):
+        assert [c for _, c in candidate_texts([f'x {name} = "ab!cd#ef%12"'])] == ["ab!cd#ef%12"]
+    net, found = secret_scan.trained(), secret_scan.findings(2000, seed=988)
+    data = [f[0].encode() for f in found]
+    off = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    row, begin, end = secret_scan.candidates(raw, off)
+    said = net.scores(*secret_scan.windows(raw, off, row, begin, end)) >= net.threshold
+    hit = lambda k: (said & (row == k) & (begin <= off[k] + found[k][1]) & (end >= off[k] + found[k][2])).any()
+    assert np.mean([hit(k) for k, f in enumerate(found) if f[3]]) >= secret_scan.RECALL
+    assert np.mean([(said & (row == k)).any() for k, f in enumerate(found) if not f[3]]) <= 0.05
+
+
 def test_secret_gradients():
     net = secret_scan.train(secret_scan.findings(64, 1), epochs=1)
     rng = np.random.default_rng(0)
