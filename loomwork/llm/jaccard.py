@@ -1,12 +1,10 @@
 """N-gram Jaccard join with a MinHash LSH forest.
 
 Every text's set of word n-grams is sketched once; texts with equal sets become one node. Each of
-``TREES`` trees holds the nodes' signatures of ``DEPTH`` values in sorted order, a prefix trie: one
-sort per tree gives, by the length of the prefix shared with the row before, the trie's branches at
-every depth. The join starts at the deepest prefixes and shortens them until the estimated recall
-reaches the target. The depth at which the threshold itself meets the target is the floor. The estimate
-takes the pairs found there, weighed by the inverse of their chance to be found, and the chance of
-each to share a deeper prefix, so it follows how similar the corpus's pairs in fact are.
+``TREES`` trees holds the nodes' signatures of ``DEPTH`` values; nodes of equal prefixes form a branch.
+Prefixes are as long as they can be while a pair that lies on the threshold still shares one in some
+tree with the chance ``recall``; more similar pairs do so more often. So the recall holds for each pair,
+however similar the other pairs of the corpus are.
 
 Nodes that share a branch are gathered by connected component, and within a component all pairs are
 verified exactly, by counting common n-grams with a matrix product over the n-grams that two or more
@@ -89,39 +87,19 @@ def chance(similarity: float, depth: int) -> float:
     return 1 - (1 - similarity**depth) ** TREES
 
 
-def _branches(sketch: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, int, dict[int, float]]:
-    """Edges ``a, b`` from each node to the first of its branch, at the depth that the estimated recall
-    asks for; that depth; the estimates."""
-    floor = next((d for d in range(DEPTH, 1, -1) if chance(threshold, d) >= recall), 1)
-    depths = range(floor, DEPTH + 1)
+def _depth(threshold: float, recall: float) -> int:
+    """The deepest prefix at which a pair of the threshold's similarity meets the recall."""
+    return next((d for d in range(DEPTH, 1, -1) if chance(threshold, d) >= recall), 1)
+
+
+def _branches(sketch: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """Edges ``a, b`` from each node to the first of its branch."""
+    depth = _depth(threshold, recall)
     nodes = sketch.groupBy("node").agg(F.first("sign").alias("sign"))
-    trees = F.explode(F.array(*(F.struct(F.lit(t).alias("tree"), F.substring("sign", t * DEPTH * 4 + 1, DEPTH * 4).alias("key")) for t in range(TREES))))
-    trie = nodes.select("node", trees.alias("x")).select("node", "x.*")
-    # Equal prefixes at the floor come together; within, order makes every deeper branch a run.
-    trie = trie.withColumn("root", F.substring("key", 1, 4 * floor))
-    order = Window.partitionBy("tree", "root").orderBy("key", "node")
-    trie = trie.withColumn("before", F.lag("key").over(order))
-    new = {d: F.col("before").isNull() | (F.substring("key", 1, 4 * d) != F.substring("before", 1, 4 * d)) for d in depths}
-    here = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    trie = trie.select("node", *(F.last(F.when(new[d], F.col("node")), True).over(here).alias(f"head_{d}") for d in depths))
-    heads = F.array(*(F.struct(F.lit(d).alias("depth"), F.col(f"head_{d}").alias("b")) for d in depths))
-    found = trie.select(F.col("node").alias("a"), F.explode(F.filter(heads, lambda x: x["b"] != F.col("node"))).alias("x")).select("a", "x.*")
-    found = written(found.groupBy("a", "b").agg(F.collect_set("depth").alias("depths")), "branches")
-
-    low = F.transform(F.sequence(F.lit(1), F.lit(TREES * DEPTH)), lambda k: F.substring("sign", k * 4, 1))
-    small = sketch.groupBy("node").agg(F.first("sign").alias("sign")).select("node", F.array_join(F.transform(low, F.hex), "").alias("low"))
-    one, two = small.toDF("a", "low_a"), small.toDF("b", "low_b")
-    pairs = found.join(one, "a").join(two, "b")
-    equal = F.aggregate(F.sequence(F.lit(0), F.lit(TREES * DEPTH - 1)), F.lit(0), lambda s, k: s + (F.substr("low_a", k * 2 + 1, F.lit(2)) == F.substr("low_b", k * 2 + 1, F.lit(2))).cast("int"))
-    alike = F.greatest((equal / (TREES * DEPTH) - 1 / 256) / (1 - 1 / 256), F.lit(0.0))
-    # The floor finds nearly all pairs, so it shows how similar they are; of those around the threshold
-    # the sketch can't say on which side they lie, so they count as lying on it.
-    pairs = pairs.where(F.array_contains("depths", floor)).select(alike.alias("s")).where(F.col("s") >= threshold - 0.1).select(F.greatest("s", F.lit(threshold)).alias("s"))
-    found_at = lambda d: 1 - F.pow(1 - F.pow("s", F.lit(d)), F.lit(TREES))
-    sums = pairs.agg(F.sum(1 / found_at(floor)).alias("all"), *(F.sum(found_at(d) / found_at(floor)).alias(f"n_{d}") for d in depths)).first()
-    estimate = {d: sums[f"n_{d}"] / sums["all"] for d in depths} if sums["all"] else {}
-    depth = next((d for d in reversed(depths) if estimate.get(d, 0.0) >= recall), floor)
-    return found.where(F.array_contains("depths", depth)).select("a", "b"), depth, estimate
+    trees = F.explode(F.array(*(F.struct(F.lit(t).alias("tree"), F.substring("sign", t * DEPTH * 4 + 1, depth * 4).alias("root")) for t in range(TREES))))
+    trie = nodes.select(F.col("node").alias("a"), trees.alias("x")).select("a", "x.*")
+    heads = trie.select("a", F.min("a").over(Window.partitionBy("tree", "root")).alias("b"))
+    return heads.where("a != b").distinct()
 
 
 def _counts(grams: np.ndarray, owner: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -211,8 +189,7 @@ def _verify(n: int, threshold: float, links: bool):
 
 def _node_pairs(docs: DataFrame, sketch: DataFrame, n: int, threshold: float, recall: float, links: bool) -> DataFrame:
     keyed = _keyed(docs, "doc", "text")
-    edges, _, _ = _branches(sketch, threshold, recall)
-    labels = components(edges)
+    labels = components(_branches(sketch, threshold, recall))
     one = sketch.groupBy("node").agg(F.min("same").alias("same")).join(labels, "node")
     in_label = Window.partitionBy("label").orderBy("node")
     one = one.withColumns({"k": F.floor((F.row_number().over(in_label) - 1) / BLOCK).cast("int"), "size": F.count("*").over(Window.partitionBy("label"))})

@@ -140,6 +140,26 @@ def test_jaccard_is_exact_and_recalls(spark, awkward, empty):
     assert sorted((str(r["doc_id"]), str(r["text"])[:10]) for r in left.collect()) == sorted((str(r["doc_id"]), str(r["text"])[:10]) for r in awkward.distinct().collect() if r["doc_id"] != 5)
 
 
+def test_jaccard_recalls_isolated_pairs_beside_large_groups(spark):
+    rng = np.random.default_rng(5)
+
+    def copy(base, changes):
+        near = list(base)
+        for at in np.arange(changes) * (len(base) // changes) + 3:
+            near[at] = words(rng, 1, 10**9)
+        return " ".join(near)
+
+    texts = []
+    for _ in range(8):
+        base = words(rng, 200).split()
+        texts += [copy(base, 2) for _ in range(60)]
+    for _ in range(60):  # at about 0.65
+        base = words(rng, 200).split()
+        texts += [" ".join(base), copy(base, 14)]
+    got = {(r["doc_a"], r["doc_b"]) for r in jaccard.join(spark.createDataFrame(rows_of(list(enumerate(texts))), SCHEMA)).collect()}
+    assert np.mean([(k, k + 1) in got for k in range(480, 600, 2)]) >= 0.9
+
+
 def test_secrets_held_out():
     net = secret_scan.trained()
     found = secret_scan.findings(600, seed=987)
