@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomwork.llm import bpe, html_extract, jaccard, media, packing, quality, registry, secret_scan, substring, suffixes, token_store
+from loomwork.llm import _graph, _io, bpe, html_extract, jaccard, media, packing, quality, registry, secret_scan, substring, suffixes, token_store
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, doc string, same int, place int, h string, node long, label string, mark string, origin int"
@@ -125,19 +125,62 @@ def trigrams(text):
     return {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
 
 
-def test_jaccard_is_exact_and_recalls(spark, awkward, empty):
-    pairs = corpus()
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in jaccard.join(spark.createDataFrame(rows_of(pairs), SCHEMA)).collect()}
+def true_links(pairs):
+    """By document: the others that are near it, and the least id of those that links connect it with."""
+    sets = {i: trigrams(t) for i, t in pairs}
+    near = {(i, j) for i in sets for j in sets if i < j and sets[i] and sets[j] and len(sets[i] & sets[j]) >= jaccard.THRESHOLD * len(sets[i] | sets[j])}
+    root = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for i, j in near:
+            low = min(root[i], root[j])
+            changed |= root[i] != low or root[j] != low
+            root[i] = root[j] = low
+    return near, {i: sum(i in p for p in near) for i in sets}, root
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_jaccard_is_exact_and_recalls(spark, awkward, empty, block):
+    pairs = corpus() + [(900, corpus()[5][1]), (901, corpus()[5][1]), (902, corpus()[61][1] + " ")]
+    docs = spark.createDataFrame(rows_of(pairs), SCHEMA)
+    near, count, root = true_links(pairs)
+    got = {r["doc_id"]: r for r in jaccard.classes(docs, block=block).collect()}
+    assert set(got) == set(count) and all(r["n_links"] <= count[i] for i, r in got.items())
+    assert sum(r["n_links"] for r in got.values()) >= jaccard.RECALL * sum(count.values()) > 20
+    assert np.mean([got[i]["class_id"] == root[i] for i in root]) >= jaccard.RECALL
     sets = {i: trigrams(t) for i, t in pairs}
-    truth = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i < j and sets[i] and sets[j]}
-    near = {k: v for k, v in truth.items() if v >= jaccard.THRESHOLD}
-    assert set(got) <= set(near) and all(abs(got[k] - near[k]) < 1e-9 for k in got)
-    assert len(got) >= 0.9 * len(near) and len(near) > 5
-    assert {(r["doc_a"], r["doc_b"]) for r in jaccard.join(awkward).collect()} == {(4, 5)}
-    assert jaccard.join(empty).count() == 0 and jaccard.one_of_each(empty).count() == 0
+    rows = jaccard.join(docs, block=block).collect()
+    assert all(abs(len(sets[r["doc_a"]] & sets[r["doc_b"]]) / len(sets[r["doc_a"]] | sets[r["doc_b"]]) - r["jaccard"]) < 1e-9 and r["doc_a"] < r["doc_b"] for r in rows)
+    different = {frozenset((frozenset(sets[i]), frozenset(sets[j]))) for i, j in near if sets[i] != sets[j]}
+    found = {frozenset((frozenset(sets[r["doc_a"]]), frozenset(sets[r["doc_b"]]))) for r in rows if sets[r["doc_a"]] != sets[r["doc_b"]]}
+    assert len(found) >= jaccard.RECALL * len(different) and len({(r["doc_a"], r["doc_b"]) for r in rows}) == len(rows)
+    left = {r["doc_id"] for r in jaccard.one_of_each(docs, block=block).collect()}
+    assert left == {i for i, r in got.items() if r["class_id"] == i}
+
+
+def test_jaccard_of_awkward_tables(spark, awkward, empty):
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.classes(awkward).collect())
+    assert got == Counter({(1, 1, 0): 1, (None, None, 0): 2, (2, 2, 0): 1, (3, 3, 0): 1, (4, 4, 1): 1, (5, 4, 1): 1, (6, 6, 0): 2, (7, 7, 0): 1})
+    assert [(r["doc_a"], r["doc_b"], r["jaccard"]) for r in jaccard.join(awkward).collect()] == [(4, 5, 1.0)]
+    assert jaccard.join(empty).count() == jaccard.one_of_each(empty).count() == jaccard.classes(empty).count() == 0
     left = jaccard.one_of_each(awkward)
     assert left.columns == awkward.columns
     assert sorted((str(r["doc_id"]), str(r["text"])[:10]) for r in left.collect()) == sorted((str(r["doc_id"]), str(r["text"])[:10]) for r in awkward.distinct().collect() if r["doc_id"] != 5)
+    blank = spark.createDataFrame([(None, None, "a"), (None, None, "b"), (1, "", "c"), (1, "", "d"), (None, "x y", "e"), (None, "x y", "f"), (3, "x y", "g")], "doc_id long, text string, source string")
+    assert sorted(r["source"] for r in jaccard.one_of_each(blank).collect()) == ["a", "b", "c", "d", "e"]
+
+
+def test_components(spark):
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 90, (50, 2))] + [(k, k + 1) for k in range(100, 140)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one, many = ({r["node"]: r["label"] for r in _graph.components(df, most).collect()} for most in (10**6, 0))
+    root = {}
+    for a, b in edges * 60:
+        root[a] = root[b] = min(root.get(a, a), root.get(b, b))
+    assert one == many == {n: r for n, r in root.items() if any(n in e and e[0] != e[1] for e in edges)}
+    assert _graph.components(df.limit(0)).count() == 0
 
 
 def test_jaccard_recalls_isolated_pairs_beside_large_groups(spark):
@@ -156,8 +199,22 @@ def test_jaccard_recalls_isolated_pairs_beside_large_groups(spark):
     for _ in range(60):  # at about 0.65
         base = words(rng, 200).split()
         texts += [" ".join(base), copy(base, 14)]
-    got = {(r["doc_a"], r["doc_b"]) for r in jaccard.join(spark.createDataFrame(rows_of(list(enumerate(texts))), SCHEMA)).collect()}
-    assert np.mean([(k, k + 1) in got for k in range(480, 600, 2)]) >= 0.9
+    got = {r["doc_id"]: r["class_id"] for r in jaccard.classes(spark.createDataFrame(rows_of(list(enumerate(texts))), SCHEMA)).collect()}
+    assert np.mean([got[k] == got[k + 1] for k in range(480, 600, 2)]) >= 0.9
+
+
+def test_jaccard_of_a_long_chain(spark):
+    """Each of 20,000 texts is near those next to it only: one component, far over a block."""
+    rng = np.random.default_rng(6)
+    stream = words(rng, 20_000 * 4 + 60, 10**6).split()
+    texts = [" ".join(stream[k * 4 : k * 4 + 60]) for k in range(20_000)]
+    got = jaccard.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    # 58 trigrams, 54 of them a neighbour's, 50 the next but one's, 46 and 42 those after
+    linked = [d for d in range(1, 15) if (58 - 4 * d) >= 0.6 * (58 + 4 * d)]
+    assert linked == [1, 2, 3]
+    total = sum(2 * (20_000 - d) for d in linked)
+    assert 0.95 * total <= sum(r["n_links"] for r in got) <= total and max(r["n_links"] for r in got) == 6
+    assert len({r["class_id"] for r in got}) <= 3
 
 
 def test_secrets_held_out():
@@ -368,9 +425,12 @@ def test_media(spark, tmp_path):
     df = spark.createDataFrame([(i, bytearray(b) if b is not None else None, "m") for i, b in payloads], "key long, body binary, member string")
     made = media.write_archives(df, str(tmp_path / "a"), "key", "body", archive_bytes=1000)
     assert sum(r["n_members"] for r in made.collect()) == 5
-    rows = media.members(spark, str(tmp_path / "a"), rangeBytes="1000").collect()
+    (tmp_path / "a" / "left-by-a-dead-attempt.zip").write_bytes(b"no archive")
+    rows = media.members(spark, str(tmp_path / "a"), rangeBytes="1000", manifest=str(tmp_path / "a" / "manifest")).collect()
     assert Counter((r["member"], bytes(r["content"])) for r in rows) == Counter((str("null" if i is None else i), b) for i, b in payloads if b is not None)
     assert {r["media_type"] for r in rows if r["member"] == "1"} == {"image/png"}
+    chunks = media.members(spark, str(tmp_path / "a"), rangeBytes="1000", chunkBytes="7000", manifest=str(tmp_path / "a" / "manifest")).where("size = 300000").orderBy("part").collect()
+    assert len(chunks) == 43 and b"".join(bytes(r["content"]) for r in chunks) == payloads[4][1] and {r["parts"] for r in chunks} == {43}
     folder = tmp_path / "b"
     folder.mkdir()
     with zipfile.ZipFile(folder / "x.zip", "w") as out:
@@ -379,13 +439,54 @@ def test_media(spark, tmp_path):
     data = (folder / "x.zip").read_bytes()
     (folder / "x.zip").write_bytes(data.replace(b"b" * 50, b"c" * 50))
     (folder / "y.zip").write_bytes(b"no archive")
-    rows = {r["member"]: r["status"] for r in media.members(spark, str(folder), waitSeconds="0").collect()}
-    assert rows == {"good": "ok", "bad": "failed", None: "archive_failed"}
+    for chunk in ("1000", "20"):  # in one row, and as parts after a check of the whole
+        rows = {r["member"]: r["status"] for r in media.members(spark, str(folder), waitSeconds="0", chunkBytes=chunk).collect()}
+        assert rows == {"good": "ok", "bad": "failed", None: "archive_failed"}
     (tmp_path / "none").mkdir()
     assert media.members(spark, str(tmp_path / "none")).count() == 0
     assert media.write_archives(df.limit(0), str(tmp_path / "d"), "key", "body").count() == 0
 
 
+def test_media_tries_again(tmp_path, monkeypatch):
+    """A read that fails twice and then succeeds gives the payload."""
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as out:
+        out.writestr("a", b"payload")
+    reader, calls, real = media._Reader({"path": str(tmp_path), "waitSeconds": "0"}), [], media.read_member
+
+    def flaky(path, info, *rest):
+        calls.append(path)
+        if len(calls) < 3:
+            raise OSError("gone for a while")
+        return real(path, info, *rest)
+
+    monkeypatch.setattr(media, "read_member", flaky)
+    (part,) = reader.partitions()
+    (batch,) = reader.read(part)
+    assert batch.column("content").to_pylist() == [b"payload"] and len(calls) == 3
+
+
+def test_shared_storage(spark):
+    with pytest.raises(ValueError):
+        _io.opened("relative/path")
+    with pytest.raises(Exception):
+        _io.opened("nosuch://bucket/x")
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = type("Conf", (), {"get": staticmethod(lambda k, d=None: d)})
+
+    with pytest.raises(ValueError):
+        _io.shared_dir(Session)
+    kept = _io.written(spark.range(3), "kept")
+    assert os.path.isdir(kept.loomwork_path)
+    _io.forget(kept)
+    assert not os.path.exists(kept.loomwork_path)
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_sql(spark, name):
     import duckdb
