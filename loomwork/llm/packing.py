@@ -2,26 +2,38 @@
 
 Documents are measured in tokens. What is over ``capacity`` is cut into full sequences; the rests, and
 the shorter documents, are packed. Only their length histogram matters for that: a configuration is a
-multiset of lengths that fits a sequence, and the program asks for the fewest configurations that
-cover the histogram. It is solved by multiplicative weights: a length's price is its share of the
-capacity times an exponential of how far its cover lags; a knapsack dynamic program finds the dearest
-configuration; lengths that are covered leave. Cover is rounded down to whole sequences as it is
-given out, and what remains is packed best fit, longest first, on the histogram, also into the room
-that configurations leave. Best fit alone is kept if it needs fewer sequences, as on small corpora, where
-rounding costs more than the program gains.
+multiset of lengths that fits a sequence, and the program asks for the least number of configurations,
+in fractions, that cover the histogram.
+
+It is solved by multiplicative weights. In every round the price of a length is its share of the capacity
+times an exponential of how far its cover lags behind the round's part of the demand; a knapsack dynamic
+program over these prices gives, in one table, the dearest configuration that holds each length; and each
+length that lags gets as much of its own as it lacks, as long as that puts no other length ahead of the
+next round. A configuration that is within a hundredth of the dearest is used again, which keeps the
+solution sparse. Rounds go on until all demand is covered. Every round's prices, divided by the value of
+their dearest configuration, are a solution of the dual program, so the best of them bounds every packing
+from below: ``Packing.bound``.
+
+Then the solution is rounded: configurations of most cover first, each down to whole sequences and to what
+is left of its lengths. The residual, which shrinks against the corpus as this grows, is packed best fit,
+longest first, also into the room that configurations leave.
 
 Scale: texts are read once; what travels are lengths. The driver gets ``capacity`` histogram rows and
 its work doesn't grow with the corpus. Places within a length are handed out by rank, and ranks come
-from counts by length and bucket, so no single task sees all the pieces of one length.
+from counts by length and bucket, with as many buckets as keep one at ``RANKED`` pieces or so, so no task
+sees all the pieces of one length.
 
 Defined cases: a null or empty text has no tokens and no place in the result; a null id is kept;
-repeated rows are packed as often as they occur; an empty table gives an empty result. Columns beside
-the id and the text are never read.
+repeated rows are packed as often as they occur; pieces that tie in length go by id and part; a very long
+text is cut into as many pieces as it fills; an empty table gives an empty result. Columns beside the id
+and the text are never read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,39 +46,94 @@ from ._io import table, written
 from ._words import slices
 
 CAPACITY = 2048
-#: Rounds of the weights; part of the tightest length's lag that a round's configuration covers.
-ROUNDS, STEP, RATE = 600, 0.5, 4.0
-#: Groups that the pieces of one length are ranked in.
-BUCKETS = 64
+#: Parts that the demand is covered in; exponent of a part's lag; how near to the dearest a
+#: configuration must be to be used again.
+ROUNDS, RATE, NEAR = 48, 0.05, 0.01
+#: Pieces of one length that are ranked together.
+RANKED = 1 << 16
 
 Patterns = list[tuple[dict[int, int], int]]
 
 
-def _dearest(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of most value: an unbounded knapsack over all capacities."""
+@dataclass
+class Packing:
+    """Configurations and how many sequences each fills; the least number that any packing needs; the
+    fractional solution's number, and how many sequences its rounding gave before the residual."""
+
+    patterns: Patterns
+    bound: float
+    fractional: float
+    rounded: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.patterns)
+
+
+def _knapsack(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most value in each room, and the length that the room's filling begins with (-1: none)."""
     best = np.zeros(capacity + 1)
     pick = np.full(capacity + 1, -1)
-    upto = np.searchsorted(sizes, np.arange(capacity + 1), "right")
-    least = int(sizes[0])
-    for room in range(least, capacity + 1):
-        value = best[room - sizes[: upto[room]]] + prices[: upto[room]]
-        k = len(value) - 1 - int(value[::-1].argmax())  # of equal ones the longest
-        if value[k] > best[room - 1]:
-            best[room], pick[room] = value[k], k
+    upto = np.searchsorted(sizes, np.arange(capacity + 1), "right").tolist()
+    for room in range(int(sizes[0]), capacity + 1):
+        k = upto[room]
+        value = (best[room - sizes[:k]] + prices[:k])[::-1]
+        at = int(value.argmax())  # of equal ones the longest
+        if value[at] > best[room - 1]:
+            best[room], pick[room] = value[at], k - 1 - at
         else:
             best[room] = best[room - 1]
-    out: dict[int, int] = {}
-    room = capacity
-    while room >= least:
-        if pick[room] < 0:
-            room -= 1
-            continue
-        size = int(sizes[pick[room]])
-        out[size] = out.get(size, 0) + 1
-        room -= size
+    return best, pick
+
+
+def _fillings(sizes: np.ndarray, pick: np.ndarray, capacity: int) -> list[list[int]]:
+    """For every length the numbers of the lengths in the dearest configuration that holds it."""
+    upto = np.maximum.accumulate(np.where(pick >= 0, np.arange(len(pick)), 0)).tolist()
+    chosen, size = pick.tolist(), sizes.tolist()
+    out = []
+    for k, own in enumerate(size):
+        filling, room = [k], upto[capacity - own]
+        while room:
+            filling.append(chosen[room])
+            room = upto[room - size[chosen[room]]]
+        out.append(filling)
     return out
 
 
+def _fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int) -> tuple[dict[tuple, float], float]:
+    """How much of each configuration, as (number of a length, times), covers the demand; the dual bound."""
+    share, want, size = sizes / capacity, demand.tolist(), sizes.tolist()
+    cover = [0.0] * len(sizes)
+    used: dict[tuple, float] = {}
+    last: list[tuple] = [()] * len(sizes)
+    bound, step = 0.0, 0
+    while any(c < d * (1 - 1e-9) for c, d in zip(cover, want)):
+        step += 1
+        goal = min(1.0, step / rounds)
+        lag = np.clip((goal - np.array(cover) / demand) * rounds, -8, 8)
+        prices = share * np.exp(RATE * lag) if step > 1 else share
+        best, pick = _knapsack(prices, sizes, capacity)
+        bound = max(bound, float(demand @ prices / best[-1]))
+        price, value, made = prices.tolist(), best.tolist(), _fillings(sizes, pick, capacity)
+        for k in range(len(size) - 1, -1, -1):
+            lack = goal * want[k] - cover[k]
+            if lack <= 0:
+                continue
+            config = last[k]
+            if not config or sum(price[j] * n for j, n in config) < (1 - NEAR) * (price[k] + value[capacity - size[k]]):
+                last[k] = config = tuple(sorted(Counter(made[k]).items()))
+            amount = lack / dict(config)[k]
+            if step <= 2 * rounds:  # what still lags after that is covered at any price
+                ahead = min(1.0, goal + 1 / rounds)
+                amount = min(amount, min((ahead * want[j] - cover[j]) / n for j, n in config))
+                if amount <= 0:
+                    continue
+            for j, n in config:
+                cover[j] += amount * n
+            used[config] = used.get(config, 0.0) + amount
+    return used, bound
+
+
 def _best_fit(left: dict[int, int], patterns: Patterns, capacity: int) -> Patterns:
     """Packs the lengths left, longest first, each into the fullest sequences that it fits, new ones
     where none is left; like sequences are handled at once."""
@@ -104,35 +171,26 @@ def _best_fit(left: dict[int, int], patterns: Patterns, capacity: int) -> Patter
     return [(dict(key), n) for held in room for key, n in held.items()]
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Patterns:
-    """Configurations and how many sequences each fills, for a count of every length up to capacity."""
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Packing:
+    """The packing of a count of every length up to capacity."""
     if any(not 0 < s <= capacity for s in histogram):
         raise ValueError("lengths must be between 1 and the capacity")
     whole = {s: n for s, n in histogram.items() if s == capacity and n}
     sizes = np.array(sorted(s for s, n in histogram.items() if s < capacity and n), np.int64)
-    demand = np.array([histogram[int(s)] for s in sizes], np.float64)
-    lag = demand.copy()
-    made: dict[tuple, int] = {}
-    for _ in range(rounds):
-        live = np.flatnonzero(lag >= 1)
-        if not len(live):
-            break
-        share = lag[live] / demand[live]
-        prices = sizes[live] / capacity * np.exp(np.minimum(RATE * (share - share.mean()), 50))
-        config = _dearest(prices, sizes[live], capacity)
-        at = {s: int(np.searchsorted(sizes, s)) for s in config}
-        config = {s: min(k, int(lag[at[s]])) for s, k in config.items()}
-        n = max(1, int(STEP * min(lag[at[s]] // k for s, k in config.items())))
-        for s, k in config.items():
-            lag[at[s]] -= n * k
-        key = tuple(sorted(config.items()))
-        made[key] = made.get(key, 0) + n
-    left = {int(s): int(n) for s, n in zip(sizes, lag) if n >= 1}
-    packed = _best_fit(left, [(dict(k), n) for k, n in made.items()], capacity)
-    # Where most lengths occur a few times, rounding costs more than the program gains.
-    plain = _best_fit({int(s): int(histogram[int(s)]) for s in sizes}, [], capacity)
-    packed = min(packed, plain, key=lambda p: sum(n for _, n in p))
-    return packed + [({s: 1}, n) for s, n in whole.items()]
+    if not len(sizes):
+        return Packing([({s: 1}, n) for s, n in whole.items()], sum(whole.values()), sum(whole.values()), sum(whole.values()))
+    left = [histogram[s] for s in sizes.tolist()]
+    used, bound = _fractional(sizes, np.array(left, np.float64), capacity, rounds)
+    rounded: Patterns = []
+    for config, amount in sorted(used.items(), key=lambda x: (-x[1], x[0])):
+        n = min([int(amount + 1e-9), *(left[j] // k for j, k in config)])
+        if n:
+            for j, k in config:
+                left[j] -= n * k
+            rounded.append(({int(sizes[j]): k for j, k in config}, n))
+    patterns = _best_fit({int(s): n for s, n in zip(sizes, left) if n}, rounded, capacity)
+    full = sum(whole.values())
+    return Packing(patterns + [({s: 1}, n) for s, n in whole.items()], bound + full, sum(used.values()) + full, sum(n for _, n in rounded) + full)
 
 
 def _placed(patterns: Patterns):
@@ -184,9 +242,11 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str
     pieces = counts.where("n > 0").select("doc_id", "n", F.explode(parts).alias("part"))
     start = F.col("part") * F.lit(capacity).cast("long")
     pieces = pieces.select("doc_id", "part", start.alias("start_token"), F.least(F.lit(capacity), F.col("n") - start).cast("int").alias("n_tokens"))
-    pieces = pieces.withColumn("bucket", F.pmod(F.hash("doc_id", "part"), F.lit(BUCKETS)))
+    histogram = {r["n_tokens"]: r["k"] for r in pieces.groupBy("n_tokens").agg(F.count("*").alias("k")).collect()}
+    patterns = solve(histogram, capacity).patterns
+    buckets = F.array(*(F.lit(max(1, -(-histogram.get(n, 0) // RANKED))) for n in range(capacity + 1)))
+    pieces = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "part"), buckets[F.col("n_tokens")]).cast("int"))
     sums = pieces.groupBy("n_tokens", "bucket").agg(F.count("*").alias("k"))
-    patterns = solve({r["n_tokens"]: r["k"] for r in sums.groupBy("n_tokens").agg(F.sum("k").alias("k")).collect()}, capacity)
     before = F.sum("k").over(Window.partitionBy("n_tokens").orderBy("bucket")) - F.col("k")
     sums = sums.select("n_tokens", "bucket", before.alias("before"))
     rank = F.row_number().over(Window.partitionBy("n_tokens", "bucket").orderBy("doc_id", "part")) - 1

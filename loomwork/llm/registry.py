@@ -21,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media_columns": media.op10_media_columns,
 }
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": substring.ORACLE,
+    "op3_suffix_array_dedup": suffixes.ORACLE,
     "op6_quality_rules": quality.ORACLE,
     "op10_media_columns": media.ORACLE,
 }
