@@ -11,9 +11,12 @@ The slices feed pair merging behind a cache of pieces. Pieces the cache lacks ar
 matrix per piece length, in which every step takes each row's leftmost lowest-ranked pair. Pieces over
 64 bytes are merged one by one with a heap.
 
-Rows keep the byte offset of every piece next to the ids, so a range of a document can be decoded
-without the rest. Defined cases: a null text gives no ids and counts as empty; special strings are
-ordinary text; repeated rows and null ids pass through; an empty table gives an empty one.
+Rows keep the byte offset of every piece and the place of its first id next to the ids, so
+``decode_range`` gives a range of a document without decoding the rest. Defined cases: a null text gives
+no ids and counts as empty; special strings are ordinary text; repeated rows and null ids pass through; of
+pairs that tie in rank the leftmost is merged; a very long text is a slice of its own, and a very long
+piece is merged with a heap; an empty table gives an empty one. Columns beside the id and the text are
+never read.
 """
 
 from __future__ import annotations
@@ -287,9 +290,9 @@ class Encoder:
         _, _, _, piece_off, slot = self._pieces(column)
         return np.diff(np.concatenate([[0], np.cumsum(self._n[slot])])[piece_off])
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All ids of a string column, where each row's ids start (n + 1), byte places of the pieces in
-        their rows, and where each row's pieces start (n + 1). The ids are decoded again and compared;
+        their rows, where each row's pieces start (n + 1), and the pieces' first ids in their rows. The ids are decoded again and compared;
         should two pieces share a hash, which that shows, the column is encoded without the cache."""
         raw, off, begin, piece_off, slot = self._pieces(column)
         at, n = self._at[slot], self._n[slot]
@@ -301,7 +304,8 @@ class Encoder:
             total = np.concatenate([[0], np.cumsum([len(x) for x in each])])
             ids = np.array([k for x in each for k in x], np.int32)
         row = np.repeat(off[:-1], np.diff(piece_off))
-        return ids, total[piece_off], (begin - row).astype(np.int32), piece_off
+        first = total[:-1] - np.repeat(total[piece_off[:-1]], np.diff(piece_off))
+        return ids, total[piece_off], (begin - row).astype(np.int32), piece_off, first.astype(np.int32)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of ids."""
@@ -323,25 +327,27 @@ def default_vocabulary() -> str:
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids, piece_offsets``: the ids and the byte places of the pieces."""
+    """``doc_id, n_tokens, ids, piece_offsets, piece_ids``: the ids, the byte places of the pieces and the
+    places of their first ids."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(vocabulary)
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, starts, places, piece_off = bpe.encode(part.column("text"))
+                ids, starts, places, piece_off, first = bpe.encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         pa.array(np.diff(starts).astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids)),
                         pa.ListArray.from_arrays(pa.array(piece_off.astype(np.int32)), pa.array(places)),
+                        pa.ListArray.from_arrays(pa.array(piece_off.astype(np.int32)), pa.array(first)),
                     ],
-                    ["doc_id", "n_tokens", "ids", "piece_offsets"],
+                    ["doc_id", "n_tokens", "ids", "piece_offsets", "piece_ids"],
                 )
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n_tokens int, ids array<int>, piece_offsets array<int>")
+    return rows.mapInArrow(work, "doc_id long, n_tokens int, ids array<int>, piece_offsets array<int>, piece_ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -361,6 +367,25 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id long, text string")
 
 
+def decode_range(encoded: DataFrame, vocabulary: str, begin: int, end: int) -> DataFrame:
+    """``doc_id, bytes``: the bytes from ``begin`` up to ``end`` of every encoded row. Only the ids of the
+    pieces that lie in the range leave the JVM and are decoded."""
+    low = F.greatest(F.size(F.filter("piece_offsets", lambda x: x <= begin)), F.lit(1))
+    high = F.size(F.filter("piece_offsets", lambda x: x < end))
+    rows = encoded.select("doc_id", "ids", "piece_ids", "piece_offsets", low.alias("low"), high.alias("high")).where("high >= low")
+    a = F.element_at("piece_ids", F.col("low"))
+    b = F.when(F.col("high") < F.size("piece_ids"), F.try_element_at("piece_ids", F.col("high") + 1)).otherwise(F.size("ids"))
+    rows = rows.select("doc_id", F.slice("ids", a + 1, b - a).alias("ids"), F.element_at("piece_offsets", F.col("low")).alias("at"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(vocabulary)
+        for batch in batches:
+            out = [bpe.decode(np.array(ids, np.int64)).tobytes()[max(0, begin - at) : max(0, end - at)] for ids, at in zip(batch.column("ids").to_pylist(), batch.column("at").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "bytes"])
+
+    return rows.mapInArrow(work, "doc_id long, bytes binary")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded; the ids of every slice are decoded again and compared as they are made."""
     return encode(table(spark, sf_dir, "documents"), default_vocabulary())

@@ -1,8 +1,8 @@
 """HTML extraction with a recurrent block labeller.
 
 A page is cut into leaf blocks: runs of text between block-level tags, in document order. Each block
-becomes a vector: the mean of learnt vectors of its tag path (tags, classes, ids and roles from the
-innermost ``PATH`` elements, hashed), the mean of learnt vectors of its hashed words, and a few
+becomes a vector: the mean of learnt vectors of its tag path (tags, classes, ids and roles, hashed; of
+the innermost ``PATH`` elements also which is within which), the mean of learnt vectors of its hashed words, and a few
 statistics. A bidirectional LSTM in numpy reads a whole page's blocks, so that every block is
 classified with the context of the document, and the blocks it calls content make the page's text.
 
@@ -14,8 +14,10 @@ Scale: one map over the pages, no shuffle; the network is 100 kilobytes in the t
 of like length are read together; a page's length is not bounded.
 
 Defined cases: a null or empty page has no blocks and the empty text; a null id passes through;
-repeated rows give repeated results; an empty table gives none; broken nesting closes as browsers
-close it. Columns beside the id and the page are never read.
+repeated rows give repeated results, whatever stands beside them; a block whose score ties with the
+threshold is content; a very long page is read whole, in a group of its own length; an empty table gives
+none; broken nesting closes as browsers close it. What scripts, styles, templates, text areas, frames and
+``noscript`` hold is no text of the page. Columns beside the id and the page are never read.
 """
 
 from __future__ import annotations
@@ -69,6 +71,7 @@ def parse(page: str) -> tuple[str | None, list[tuple[tuple[tuple[str, ...], ...]
     blocks: list[tuple[tuple[tuple[str, ...], ...], str, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     opened: Counter[str] = Counter()
+    around: Counter[str] = Counter()  # names of all open elements
     pieces: list[str] = []
     linked = 0
 
@@ -77,14 +80,22 @@ def parse(page: str) -> tuple[str | None, list[tuple[tuple[tuple[str, ...], ...]
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                blocks.append((tuple(names for tag, names in stack[-PATH:] if tag not in _INLINE), text, min(linked, len(text))))
+                path = tuple(names for tag, names in stack[-PATH:] if tag not in _INLINE)
+                if len(stack) > PATH:
+                    path = (("*", *sorted(around)), *path)
+                blocks.append((path, text, min(linked, len(text))))
             pieces.clear()
         linked = 0
 
     def close(tag: str) -> None:
         while stack:
-            last = stack.pop()[0]
+            last, names = stack.pop()
             opened[last] -= 1
+            if last not in _INLINE:
+                for name in names:
+                    around[name] -= 1
+                    if not around[name]:
+                        del around[name]
             if last == tag:
                 return
 
@@ -119,6 +130,8 @@ def parse(page: str) -> tuple[str | None, list[tuple[tuple[tuple[str, ...], ...]
                 if not m["attrs"].endswith("/"):
                     stack.append((tag, _names(tag, m["attrs"])))
                     opened[tag] += 1
+                    if not inline:
+                        around.update(stack[-1][1])
         elif m["raw"] is not None and m["raw"].lower() == "title" and title is None:
             title = " ".join(html.unescape(m["inner"]).split())
     flush()

@@ -6,7 +6,8 @@ ablations are bitwise aggregates of it, so neither reads a text again. All of it
 expressions: one scan, no shuffle, no Python.
 
 Defined cases: a null text counts as an empty one and fails ``blank`` only; a null id is kept as it
-is; repeated rows get equal ledger rows; an empty table gives an empty ledger. Of the input's other
+is; repeated rows get equal ledger rows; a measurement that ties with a rule's bound passes it; a very long
+text is measured whole; an empty table gives an empty ledger. Of the input's other
 columns none is read by ``ledger`` and all are returned by ``keep``, whatever their names.
 """
 

@@ -17,7 +17,8 @@ labelled findings can be passed instead.
 Scale: one map over the texts, no shuffle; the network is a few kilobytes in the tasks' closure.
 
 Defined cases: a null or empty text has no findings and stays as it is; a null id passes through;
-repeated rows give repeated findings; an empty table gives none. Columns beside the id and the text
+repeated rows give repeated findings; candidates that overlap count as one; a score that ties with the
+threshold is a finding; a very long text is a slice of its own; an empty table gives none. Columns beside the id and the text
 are never read, and ``redact`` returns them as they are. A candidate may be as long as a text.
 """
 

@@ -301,7 +301,7 @@ class Family:
             none = {"block": "binary", "doc": "long", "mark": "int", "ranges": "array<int>"}
             each = spark.range(self.parts).select(F.col("id").cast("int").alias("part"), *(F.lit(0).alias(c) for c in ("size", "n", "n_docs")), *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
             routed = routed.unionByName(each)
-        found = routed.repartition(self.parts, "part").sortWithinPartitions("part").mapInArrow(_arrive([f for _, f in self.levels], merged, target), _FOUND)
+        found = routed.repartitionById(self.parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_arrive([f for _, f in self.levels], merged, target), _FOUND)
         path = shared_path(spark, "repeats")
         cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
         before = spark.conf.get(cleanup, "false")

@@ -116,7 +116,7 @@ def _shards(path: str, vocabulary: str, width: str):
             for batch in batches:
                 for part in slices(batch, "text"):
                     out = out or where.open_output_stream(f"{folder}/{name}", buffer_size=1 << 20)
-                    ids, starts, _, _ = encoder.encode(part.column("text"))
+                    ids, starts, *_ = encoder.encode(part.column("text"))
                     data = ids.astype(width).tobytes()
                     out.write(data)
                     cut = (starts * size).tolist()

@@ -274,6 +274,38 @@ def test_secrets_found_end_to_end():
     assert np.mean([(said & (row == k)).any() for k, f in enumerate(found) if not f[3]]) <= 0.05
 
 
+def test_secret_network_is_brute_forces():
+    """Scores of every candidate of some texts against loops over patterns, windows and filters."""
+    net = secret_scan.trained()
+    w = {k: v.astype(np.float64) for k, v in net.weights.items()}
+    texts = [f[0] for f in secret_scan.findings(24, seed=51)] + ["the password = k9#Qv2!xW7m%", "Then", "client_secret: pT4^mZ8*qL1"]
+    data = [t.encode() for t in texts]
+    off = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    row, begin, end = secret_scan.candidates(raw, off)
+    assert {24, 26} <= set(row.tolist()) and len(row) >= 20
+    symbols, stats = secret_scan.windows(raw, off, row, begin, end)
+    got = net.scores(symbols, stats)
+    for k in range(len(row)):
+        text, a, b = data[row[k]], int(begin[k] - off[row[k]]), int(end[k] - off[row[k]])
+        value = text[a:b] if b - a <= secret_scan.MIDDLE else text[a : a + secret_scan.MIDDLE * 3 // 4] + text[b - secret_scan.MIDDLE // 4 : b]
+        pad = lambda x, n, left: [0] * (n - len(x)) + x if left else x + [0] * (n - len(x))
+        codes = [int(c) for c in secret_scan._SYMBOL[np.frombuffer(text, np.uint8)]]
+        line = pad(codes[max(0, a - secret_scan.LEFT) : a], secret_scan.LEFT, True) + pad([int(secret_scan._SYMBOL[c]) for c in value], secret_scan.MIDDLE, False) + pad(codes[b : b + secret_scan.RIGHT], secret_scan.RIGHT, False)
+        assert symbols[k].tolist() == line
+        x = [[*w["letters"][c], float(secret_scan.LEFT <= i < secret_scan.LEFT + secret_scan.MIDDLE)] for i, c in enumerate(line)]
+        conv = lambda rows, f, bias: [[max(0.0, sum(rows[i + t][d] * f[d * 5 + t, o] for t in range(5) for d in range(len(rows[0]))) + bias[o]) for o in range(f.shape[1])] for i in range(len(rows) - 4)]
+        if k >= 3:
+            continue  # three of them through the loops
+        one = conv(x, w["first"], w["first_b"])
+        half = [[max(p, q) for p, q in zip(one[2 * i], one[2 * i + 1])] for i in range(len(one) // 2)]
+        two = conv(half, w["second"], w["second_b"])
+        cut = secret_scan.LEFT // 2 - 2
+        top = [max(r[o] for r in two[:cut]) for o in range(24)] + [max(r[o] for r in two[cut:]) for o in range(24)] + stats[k].tolist()
+        z = net.scale[0] * (sum(t * v for t, v in zip(top, w["out"][:, 0])) + w["out_b"][0]) + net.scale[1]
+        assert abs(got[k] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
 def test_secret_gradients():
     net = secret_scan.train(secret_scan.findings(64, 1), epochs=1)
     rng = np.random.default_rng(0)
@@ -413,6 +445,33 @@ def test_html_held_out(spark):
     assert np.mean([r["content"] == ("article" in r["path"]) for r in rows]) >= 0.97
 
 
+def test_html_network_is_brute_forces():
+    """Scores of all blocks of some pages against a loop over blocks, gates and units."""
+    net = html_extract.trained()
+    w, h = {k: v.astype(np.float64) for k, v in net.weights.items()}, html_extract.HIDDEN
+    pages = [p for p, _ in html_extract.labelled_pages(6, seed=3)] + ["<article>" + "<div>" * 30 + "deep" + "</div>" * 30 + "<p>x</p></article>"]
+    parsed = [html_extract.parse(p)[1] for p in pages]
+    assert any(n.startswith("article") for n in parsed[-1][0][0][0])  # an element far out is seen
+    got, at = net.scores(html_extract.Blocks(parsed)), 0
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for page in parsed:
+        alone = html_extract.Blocks([page])
+        fed = net._inputs(alone).astype(np.float64)
+        states = {}
+        for way, order in (("on", range(len(page))), ("back", range(len(page) - 1, -1, -1))):
+            state, cell = np.zeros(h), np.zeros(h)
+            for k in order:
+                z = [sum(fed[k][i] * w[f"{way}_x"][i, g] for i in range(fed.shape[1])) + state @ w[f"{way}_h"][:, g] + w[f"{way}_b"][g] for g in range(4 * h)]
+                i, f, o, c = sigmoid(np.array(z[:h])), sigmoid(np.array(z[h : 2 * h])), sigmoid(np.array(z[2 * h : 3 * h])), np.tanh(z[3 * h :])
+                cell = f * cell + i * c
+                state = o * np.tanh(cell)
+                states[way, k] = state
+        for k in range(len(page)):
+            top = np.concatenate([states["on", k], states["back", k], fed[k]])
+            assert abs(sigmoid(float(top @ w["out"][:, 0] + w["out_b"][0])) - got[at + k]) < 1e-4
+        at += len(page)
+
+
 def test_html_gradients():
     held = html_extract.labelled_pages(3, seed=5)
     net = html_extract.Labeller()
@@ -477,6 +536,9 @@ def test_bpe_agrees_and_returns(spark, awkward, empty):
     rows = bpe.encode(awkward, VOCABULARY).collect()
     assert len(rows) == awkward.count() and bpe.encode(empty, VOCABULARY).count() == 0
     assert sorted(r["text"] for r in bpe.decode(bpe.encode(awkward, VOCABULARY), VOCABULARY).collect()) == sorted(r["text"] or "" for r in awkward.collect())
+    for begin, end in ((0, 7), (5, 31), (40, 10_000)):
+        parts = {r["doc_id"]: bytes(r["bytes"]) for r in bpe.decode_range(bpe.encode(spark.createDataFrame(rows_of(list(enumerate(texts))), SCHEMA), VOCABULARY), VOCABULARY, begin, end).collect()}
+        assert all(parts.get(i, b"") == t.encode()[begin:end] for i, t in enumerate(texts))
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     back = bpe.decode(registry.QUERIES["op8_byte_bpe"](spark, DATA), VOCABULARY)
     assert {r["doc_id"]: r["text"] for r in back.collect()} == {r["doc_id"]: r["text"] for r in docs.collect()}
