@@ -80,9 +80,12 @@ def resolve(base: Column, link: Column) -> Column:
     )
 
 
-def is_safe_path(path: Column, extensions: tuple[str, ...] = ()) -> Column:
-    """Whether a path stays in its folder and, if any are given, has one of the extensions."""
+def is_safe_path(path: Column, extensions: tuple[str, ...] = (), base: str | None = None) -> Column:
+    """Whether a path stays in its folder (an absolute one in ``base``, if that is given) and, if any are
+    given, has one of the extensions."""
     ok = ~F.contains(path, F.lit("..")) & ~F.contains(path, F.lit("~")) & (path != "")
+    if base is not None:
+        ok &= ~F.startswith(path, F.lit("/")) | F.startswith(path, F.lit(base.rstrip("/") + "/"))
     if extensions:
         ok &= F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1)).isin(*(e.lstrip(".").lower() for e in extensions))
     return F.coalesce(ok, F.lit(False))

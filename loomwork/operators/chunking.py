@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions import urls
 from ..functions.safety import check_chunking
+from ._rows import per_row
 
 SECTIONS = "section int, heading string, level int, path string, parents array<string>, body string"
 
@@ -95,36 +93,19 @@ def _sections(markdown: str) -> Iterator[tuple[str, int, str, list[str], str]]:
         yield *head, "".join(body)
 
 
-def _per_row(docs: DataFrame, column: str, fold, schema: str) -> DataFrame:
-    """Rows of a fold over one string column, beside the columns of the row."""
-    names = docs.columns
-    target = to_arrow_schema(StructType.fromDDL(schema))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(k, i, *x) for k, value in enumerate(batch.column(column).to_pylist()) if value for i, x in enumerate(fold(value))]
-            if not found:
-                continue
-            rows, *rest = zip(*found)
-            columns = [pa.array(list(c), f.type) for c, f in zip(rest, target)]
-            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, *columns], [*names, *target.names])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(work, f"{kept}, {schema}")
-
-
 def sections(docs: DataFrame, markdown: str = "content") -> DataFrame:
     """A row for each heading's section: its line, level, path, its parents' lines and its text with the
-    heading. What precedes the first heading is ``Document Start``."""
-    return _per_row(docs, markdown, _sections, SECTIONS)
+    heading, beside the other columns. What precedes the first heading is ``Document Start``."""
+    return per_row(docs, markdown, _sections, SECTIONS)
 
 
 def semantic(docs: DataFrame, markdown: str = "content", url: str = "url", size: int = 1000, overlap: int = 200) -> DataFrame:
     """Sections as chunks; long ones in word windows, of which the later ones open with the headings
-    above them. Adds the section's columns and ``position, id, chunk, word_count, char_count,
+    above them. Beside the other columns, the section's columns and ``position, id, chunk, word_count, char_count,
     chunk_type, domain``; a section's ``position`` is null if it is whole."""
     check_chunking(size, overlap)
     width, step = size // 5, size // 5 - overlap // 5
+    kept = [c for c in docs.columns if c != markdown]
     rows = sections(docs, markdown).withColumn("_w", T.words(F.col("body")))
     whole = F.length("body") <= size
     rows = rows.select("*", F.explode(F.when(whole, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.size("_w") - 1, F.lit(step)))).alias("_s"))
@@ -135,7 +116,7 @@ def semantic(docs: DataFrame, markdown: str = "content", url: str = "url", size:
     rows = rows.withColumn("chunk", F.when(F.col("_s") < 0, F.col("body")).otherwise(later))
     name = F.concat(F.col(url), F.lit(":"), F.col("path"), F.when(F.col("_s") >= 0, F.concat(F.lit(":"), F.col("_s").cast("string"))).otherwise(F.lit("")))
     return rows.select(
-        *docs.columns, "section", "heading", "level", "path", "parents", F.when(F.col("_s") >= 0, F.floor(F.col("_s") / step).cast("int")).alias("position"), F.md5(name).alias("id"), "chunk",
+        *kept, "section", "heading", "level", "path", "parents", F.when(F.col("_s") >= 0, F.floor(F.col("_s") / step).cast("int")).alias("position"), F.md5(name).alias("id"), "chunk",
         F.when(F.col("_s") < 0, F.size("_w")).otherwise(F.size(part)).alias("word_count"), F.length("chunk").alias("char_count"),
         F.when(F.col("_s") < 0, F.lit("section")).otherwise(F.lit("content_chunk")).alias("chunk_type"), urls.host(F.col(url)).alias("domain"),
     )
@@ -187,4 +168,4 @@ def breaks(docs: DataFrame, markdown: str = "content", size: int = 1000, overlap
         if held:
             yield heading, level, held
 
-    return _per_row(docs, markdown, fold, "position int, heading string, level int, chunk string")
+    return per_row(docs, markdown, fold, "position int, heading string, level int, chunk string")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
@@ -46,37 +48,108 @@ def hashed(dims: int = 64) -> Model:
 register("hashed", hashed())
 
 
-def term_counts(docs: DataFrame, id_col: str, text: str, pattern: str = r"[0-9A-Za-z_]{2,}", stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """``id, term, n`` of lower-case tokens."""
-    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"({pattern})"), F.lit(1))
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(found).alias("term"))
-    if stop_words:
-        rows = rows.where(~F.col("term").isin(*stop_words))
-    return rows.groupBy("id", "term").agg(F.count("*").alias("n"))
+def model_of(*names: str) -> Model:
+    """The first of the named models that is registered and answers; a chain to fall back along."""
+    problems = []
+    for name in names:
+        try:
+            MODELS[name](["probe"])
+            return MODELS[name]
+        except Exception as problem:  # whatever keeps a model from answering, the next one is asked
+            problems.append(f"{name}: {type(problem).__name__}: {problem}")
+    raise ValueError("no model answers: " + "; ".join(problems))
+
+
+def _term_sums(pattern: str, stop_words: tuple[str, ...]):
+    """``term, total, df`` of a task's texts, summed as far as memory allows."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, stop = re.compile(pattern).findall, frozenset(stop_words)
+        total: Counter[str] = Counter()
+        df: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            terms = [t for t in total if t not in stop]
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([total[t] for t in terms], pa.int64()), pa.array([df[t] for t in terms], pa.int64())], ["term", "total", "df"])
+
+        for batch in batches:
+            for text in batch.column("text"):
+                counts = Counter(find((text.as_py() or "").lower()))
+                total.update(counts)
+                df.update(counts.keys())
+                if len(total) > 1_000_000:
+                    yield out()
+                    total.clear()
+                    df.clear()
+        yield out()
+
+    return work
+
+
+def _weighted(find: Callable[[str], list[str]], weights: dict[str, float]):
+    """``id, term, weight`` of each text's terms that have a weight; rows of length one."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, terms, found = [], [], []
+            for r, text in enumerate(batch.column("text")):
+                counts = Counter(find((text.as_py() or "").lower()))
+                held = [(t, n * weights[t]) for t, n in counts.items() if t in weights]
+                length = math.sqrt(sum(w * w for _, w in held))
+                for t, w in held:
+                    rows.append(r)
+                    terms.append(t)
+                    found.append(w / length)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), pa.array(terms, pa.string()), pa.array(found, pa.float64())], ["id", "term", "weight"])
+
+    return work
 
 
 def tf_idf(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_features: int = 1024) -> DataFrame:
     """``id, term, weight``: smoothed TF-IDF over the terms of most occurrences in the corpus, rows of
-    length one. The vocabulary has a fixed size and is joined by broadcast."""
-    counts = term_counts(docs, id_col, text, stop_words=tuple(STOP_WORDS))
-    n = docs.agg(F.count("*").alias("docs"))
-    terms = counts.groupBy("term").agg(F.sum("n").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(max_features)
-    idf = terms.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    rows = counts.join(F.broadcast(idf), "term").withColumn("w", F.col("n") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return rows.select("id", "term", (F.col("w") / length).alias("weight"))
+    length one. Every document is a row, so its weights are made where it lies: what is shuffled is each
+    task's sums by term, and the driver gets the ``max_features`` terms of the vocabulary."""
+    pattern = r"[0-9A-Za-z_]{2,}"
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    sums = rows.select("text").mapInArrow(_term_sums(pattern, tuple(STOP_WORDS)), "term string, total long, df long")
+    terms = sums.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df")).orderBy(F.desc("total"), "term").limit(max_features).collect()
+    n = docs.count()
+    idf = {r["term"]: math.log((1 + n) / (1 + r["df"])) + 1 for r in terms}
+    return rows.mapInArrow(_weighted(re.compile(pattern).findall, idf), f"id {rows.schema['id'].dataType.simpleString()}, term string, weight double")
+
+
+def _first_words(size: int):
+    """``term, id, place`` of the first ``size`` different words of a task's texts by id and place: no
+    other word of the task can be among the corpus's first ones."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, tuple] = {}
+        last = None
+        for batch in batches:
+            for key, text in zip(batch.column("id").to_pylist(), batch.column("text")):
+                if last is not None and key is not None and key > last:
+                    continue
+                for place, word in enumerate((text.as_py() or "").lower().split()):
+                    at = (key is not None, key, place)
+                    if word not in seen or at < seen[word]:
+                        seen[word] = at
+                if len(seen) > 2 * size:
+                    seen = dict(sorted(seen.items(), key=lambda x: x[1])[:size])
+                    last = max(seen.values())[1]
+        terms = sorted(seen.items(), key=lambda x: x[1])[:size]
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in terms], pa.string()), pa.array([x[1] for _, x in terms], pa.int64()), pa.array([x[2] for _, x in terms], pa.int64())], ["term", "id", "place"])
+
+    return work
 
 
 def count_vectors(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 512) -> DataFrame:
     """``id, term, weight``: counts over the first ``size`` different words of the corpus in reading
-    order, rows of length one; documents without any have no rows."""
-    words = docs.select(F.col(id_col).alias("id"), F.posexplode(T.words(F.lower(F.col(text)))).alias("place", "term"))
-    counts = words.groupBy("id", "term").agg(F.count("*").alias("n"), F.min("place").alias("place"))
-    first = counts.groupBy("term").agg(F.min(F.struct("id", "place")).alias("seen"))
-    vocabulary = first.orderBy("seen").limit(size).select("term")
-    rows = counts.join(F.broadcast(vocabulary), "term")
-    length = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("id")))
-    return rows.select("id", "term", (F.col("n") / length).alias("weight"))
+    order (by id, nulls first), rows of length one; documents without any have no rows. What is shuffled
+    is ``size`` words a task, and the driver gets ``size`` words."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    first = rows.mapInArrow(_first_words(size), "term string, id long, place long").groupBy("term").agg(F.min(F.struct("id", "place")).alias("seen"))
+    vocabulary = {r["term"]: 1.0 for r in first.orderBy("seen").limit(size).collect()}
+    return rows.mapInArrow(_weighted(str.split, vocabulary), "id long, term string, weight double")
 
 
 def text_of(content: Column, text: Column) -> Column:

@@ -71,12 +71,13 @@ def parse(page: str, browser: bool = False) -> Node:
     other; else elements nest as written."""
     root = Node("", {}, 0, 0)
     stack, at, n = [root], 0, len(page)
-    opened: dict[str, int] = {}
+    opened: dict[str, list[int]] = {}  # where in the stack the open elements of each tag are
 
     def close(to: int, start: int, end: int) -> None:
         while len(stack) > to:
             node = stack.pop()
-            opened[node.tag] -= 1
+            if node.tag in opened:
+                opened[node.tag].pop()
             node.inner_end, node.end = start, end if len(stack) == to else start
 
     while at < n and (m := _TOKEN.match(page, at)):
@@ -87,13 +88,13 @@ def parse(page: str, browser: bool = False) -> Node:
             tag = tag.lower()
             if m["end"]:
                 if opened.get(tag):
-                    close(max(k for k, x in enumerate(stack) if x.tag == tag), m.start(), at)
+                    close(opened[tag][-1], m.start(), at)
                 continue
             if browser:
                 item = "li" if tag == "li" else "p" if tag in _ENDS_P else ""
                 if opened.get(item):
-                    k = max(k for k, x in enumerate(stack) if x.tag == item)
-                    if item == "p" or not any(x.tag in ("ul", "ol") for x in stack[k:]):
+                    k = opened[item][-1]
+                    if item == "p" or not any(opened.get(x) and opened[x][-1] > k for x in ("ul", "ol")):
                         close(k, m.start(), m.start())
             attrs = {a[1].lower(): entities.unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(m["attrs"])} if m["attrs"] else {}
             node = Node(tag, attrs, m.start(), at)
@@ -105,8 +106,8 @@ def parse(page: str, browser: bool = False) -> Node:
                 node.children.append(entities.unescape(body) if tag in ("title", "textarea") else body)
                 at = node.end
             elif tag not in _VOID and not m["attrs"].endswith("/"):
+                opened.setdefault(tag, []).append(len(stack))
                 stack.append(node)
-                opened[tag] = opened.get(tag, 0) + 1
     close(1, n, n)
     return root
 
@@ -140,7 +141,13 @@ def _language(node: Node, plain: bool) -> str:
 def document(root: Node, base: str) -> dict:
     """A page's parts by kind: headings by level, then in order."""
     every = list(root.walk())
-    loose = lambda x: "".join(x.pieces()).strip()
+    texts: dict[int, str] = {}
+
+    def loose(x: Node) -> str:
+        if id(x) not in texts:
+            texts[id(x)] = "".join(x.pieces()).strip()
+        return texts[id(x)]
+
     some = lambda tag: [x for x in every if x.tag == tag]
     return {
         "title": next((loose(x) for x in some("title")), "No Title"), "base_url": base,

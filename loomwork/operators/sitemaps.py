@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import urls
+from . import html
+from ._rows import per_row
 
+#: Where a site keeps its sitemap if robots.txt names none, in the order of trial.
 PLACES = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap", "/sitemap.html")
 
 
@@ -20,26 +26,43 @@ def from_robots(rows: DataFrame, text: str = "text") -> DataFrame:
     return found.select(*keep, F.trim(F.substring("_l", 9, 1 << 30)).alias("sitemap"))
 
 
-def _entries(xml: str, tag: str):
-    return F.regexp_extract_all(F.col(xml), F.lit(rf"(?s)<(?:\w+:)?{tag}\b[^>]*>(.*?)</(?:\w+:)?{tag}>"), F.lit(1))
+def _entries(tag: str, *fields: str):
+    """A fold over XML: the fields of every element of a name, whatever its namespace. Of what isn't well
+    formed there are none."""
 
+    def fold(xml: str) -> Iterator[tuple]:
+        try:
+            root = ElementTree.fromstring(xml.lstrip("\ufeff \t\r\n"))
+        except (ElementTree.ParseError, ValueError):
+            return
+        for x in root.iter():
+            if isinstance(x.tag, str) and x.tag.rpartition("}")[2] == tag:
+                held: dict[str, str] = {}
+                for c in x:
+                    if isinstance(c.tag, str):
+                        held.setdefault(c.tag.rpartition("}")[2], "".join(c.itertext()).strip())
+                yield tuple(held.get(f) or None for f in fields)
 
-def _field(entry, name: str):
-    found = F.regexp_extract(entry, rf"(?s)<(?:\w+:)?{name}\b[^>]*>\s*(.*?)\s*</(?:\w+:)?{name}>", 1)
-    return F.nullif(F.replace(F.replace(F.replace(found, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&")), F.lit(""))
+    return fold
 
 
 def parse(rows: DataFrame, xml: str = "content") -> DataFrame:
-    """``ordinal, loc, lastmod, changefreq, priority`` of a sitemap's URLs; those without a place go."""
+    """``ordinal, loc, lastmod, changefreq, priority`` of a sitemap's URLs; those without a place go, and
+    a sitemap that isn't well-formed XML has none."""
     keep = [c for c in rows.columns if c != xml]
-    found = rows.select(*keep, F.posexplode(_entries(xml, "url")).alias("ordinal", "_e"))
-    return found.select(*keep, "ordinal", _field("_e", "loc").alias("loc"), _field("_e", "lastmod").alias("lastmod"), _field("_e", "changefreq").alias("changefreq"), _field("_e", "priority").try_cast("double").alias("priority")).where("loc is not null")
+    found = per_row(rows, xml, _entries("url", "loc", "lastmod", "changefreq", "priority"), "ordinal int, loc string, lastmod string, changefreq string, _p string")
+    return found.select(*keep, "ordinal", "loc", "lastmod", "changefreq", F.col("_p").try_cast("double").alias("priority")).where("loc is not null")
 
 
 def children(rows: DataFrame, xml: str = "content") -> DataFrame:
     """``sitemap`` of a sitemap index's entries."""
-    keep = [c for c in rows.columns if c != xml]
-    return rows.select(*keep, F.explode(_entries(xml, "sitemap")).alias("_e")).select(*keep, _field("_e", "loc").alias("sitemap")).where("sitemap is not null")
+    return per_row(rows, xml, _entries("sitemap", "loc"), "sitemap string", ordinal=False).where("sitemap is not null")
+
+
+def from_html(rows: DataFrame, page: str = "content", url: str = "url") -> DataFrame:
+    """``ordinal, loc`` of the links of pages that list a site's URLs, in order, each once."""
+    keep = [c for c in rows.columns if c not in (page, url)]
+    return html.convert(rows, "links", html=page, url=url, keep=tuple(keep)).select(*keep, F.posexplode("links").alias("ordinal", "loc"))
 
 
 def is_xml(kind, content):
@@ -48,15 +71,40 @@ def is_xml(kind, content):
 
 
 def crawl(files: DataFrame, start: DataFrame) -> DataFrame:
-    """URLs of all sitemaps that lead on from ``start`` (``url``), by way of indexes; each is visited
-    once. ``files`` holds ``url, content``. A round a level; the frontier is checkpointed."""
-    visited = start.select("url").distinct().checkpoint()
+    """URLs of all sitemaps that lead on from ``start`` (``url`` and, for instance, a site), by way of
+    indexes; each is visited once. ``files`` holds ``url, content``. A round a level; the frontier is
+    checkpointed."""
+    names = start.columns
+    pages = files.select("url", "content")
+    visited = start.distinct().checkpoint()
     front = visited
     while not front.isEmpty():
-        below = children(files.join(front, "url", "left_semi")).select(F.col("sitemap").alias("url")).distinct()
-        front = below.join(visited, "url", "left_anti").checkpoint()
+        below = children(pages.join(front, "url")).drop("url").withColumnRenamed("sitemap", "url").select(*names).distinct()
+        front = below.join(visited, names, "left_anti").checkpoint()
         visited = visited.unionByName(front).checkpoint()
-    return parse(files.join(visited, "url", "left_semi"))
+    return parse(pages.join(visited, "url"))
+
+
+def discover(sites: DataFrame, files: DataFrame, site: str = "site", min_priority: float | None = None, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
+    """``site, loc, lastmod, priority`` of the sites' URLs, each once, with the best priority that it has.
+    ``files`` holds what is there: ``url, kind`` (the content type), ``content``. A site's sitemaps are
+    those that its robots.txt names, else the first of PLACES that it has; XML leads on through indexes, a
+    page of HTML gives its links. Then the filters; ``limit`` is the first URLs of each site."""
+    roots = sites.select(F.regexp_replace(site, "/+$", "").alias("site")).distinct()
+    robots = files.join(roots.select("site", F.concat("site", F.lit("/robots.txt")).alias("url")), "url").select("site", "content")
+    named = from_robots(robots, "content").select("site", F.col("sitemap").alias("url")).where(urls.is_valid(F.col("url")))
+    places = roots.join(named.select("site"), "site", "left_anti").select("site", F.posexplode(F.array(*map(F.lit, PLACES))).alias("place", "p"))
+    there = files.select("url").distinct().join(places.select("site", "place", F.concat("site", "p").alias("url")), "url")
+    start = named.unionByName(first_found(there).select("site", "url")).distinct()
+    kinds = files.withColumn("_xml", is_xml(F.col("kind"), F.col("content")))
+    listed = crawl(kinds.where("_xml"), start).select("site", "ordinal", "loc", "lastmod", "priority")
+    pages = from_html(kinds.where("not _xml").join(start, "url").select("site", "url", "content"))
+    both = listed.unionByName(pages.select("site", "ordinal", "loc", F.lit(None).cast("string").alias("lastmod"), F.lit(None).cast("double").alias("priority")))
+    both = valid(both).groupBy("site", "loc").agg(F.max("lastmod").alias("lastmod"), F.max("priority").alias("priority"))
+    both = filter_urls(both, min_priority, include, exclude)
+    if limit is not None:
+        both = both.withColumn("_k", F.row_number().over(Window.partitionBy("site").orderBy("loc"))).where(F.col("_k") <= limit).drop("_k")
+    return both
 
 
 def first_found(candidates: DataFrame, site: str = "site", ordinal: str = "place") -> DataFrame:

@@ -2,13 +2,98 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+from dataclasses import asdict, dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .search import condition
 
 
+@dataclass
+class Collection:
+    """A stored table of points: a folder with a table for each version, and a pointer to the last whole
+    one. ``create`` settles the vectors' dimension and distance; rows of another dimension raise."""
+
+    path: str
+    dimension: int
+    distance: str = "cosine"
+    key: str = "id"
+    vector: str = "embedding"
+    version: str | None = None
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, dimension: int, distance: str = "cosine", **names: str) -> Collection:
+        """Opens a collection, made if it isn't there. One that is there with another dimension or
+        distance raises."""
+        if dimension < 1 or distance not in ("cosine", "dot", "euclid"):
+            raise ValueError("the dimension must be positive, the distance cosine, dot or euclid")
+        asked = cls(path, dimension, distance, **names)
+        try:
+            held = cls.load(spark, path)
+        except FileNotFoundError:
+            asked._point(spark)
+            return asked
+        if (held.dimension, held.distance) != (dimension, distance):
+            raise ValueError(f"the collection has dimension {held.dimension} and distance {held.distance}")
+        return held
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Collection:
+        fs, at = cls._place(spark, f"{path}/collection.json")
+        if not fs.exists(at):
+            raise FileNotFoundError(path)
+        stream = fs.open(at)
+        try:
+            text = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        return cls(**json.loads(text) | {"path": path})
+
+    @staticmethod
+    def _place(spark: SparkSession, path: str):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+    def _point(self, spark: SparkSession) -> None:
+        """Writes the pointer beside the old one and puts it in its place."""
+        fs, at = self._place(spark, f"{self.path}/collection.json")
+        _, new = self._place(spark, f"{self.path}/collection-{uuid.uuid4().hex}.json")
+        out = fs.create(new, True)
+        out.write(bytearray(json.dumps(asdict(self)).encode()))
+        out.close()
+        if fs.exists(at):
+            fs.delete(at, False)
+        if not fs.rename(new, at):
+            raise OSError(f"the pointer can't be written: {self.path}")
+
+    def read(self, spark: SparkSession) -> DataFrame | None:
+        """The points of the last version; None while there is none."""
+        return spark.read.parquet(f"{self.path}/{self.version}") if self.version else None
+
+    def upsert(self, rows: DataFrame, order: str | None = None) -> int:
+        """Puts rows in as a new version, in place of those of equal key, and returns how many points there
+        are then. Readers see the old version until the new one is whole; the one before it is deleted."""
+        spark = rows.sparkSession
+        wrong = rows.where(F.col(self.vector).isNotNull() & (F.size(self.vector) != self.dimension)).select(self.key).head()
+        if wrong:
+            raise ValueError(f"a vector isn't of dimension {self.dimension}: {wrong[0]}")
+        old = self.read(spark)
+        if old is None:
+            old = rows.where("false")
+        name = f"version-{uuid.uuid4().hex}"
+        upsert(old, rows, self.key, order).write.parquet(f"{self.path}/{name}")
+        before, self.version = self.version, name
+        self._point(spark)
+        if before:
+            fs, at = self._place(spark, f"{self.path}/{before}")
+            fs.delete(at, True)
+        return self.read(spark).count()
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
     """The old rows whose keys the new ones lack, and of each new key the last row by ``order``."""
     rank = Window.partitionBy(key).orderBy(F.desc(order)) if order else Window.partitionBy(key).orderBy(F.lit(0))
@@ -45,12 +130,14 @@ def evict_bytes(rows: DataFrame, most: float, size: str = "size", ts: str = "ts"
     return rows.where((F.col("_excess") <= 0) | (F.col("_gone") >= F.col("_excess"))).drop("_excess", "_gone")
 
 
-def cache_hits(requests: DataFrame, ttl: float, key: str = "key", ts: str = "ts", written: str = "is_write") -> DataFrame:
-    """Adds ``hit``: whether the last write of a key before a row is at most ``ttl`` seconds old."""
+def cache_hits(requests: DataFrame, ttl: float, key: str = "key", ts: str = "ts", written: str = "is_write", own_ttl: str | None = None) -> DataFrame:
+    """Adds ``hit``: whether the last write of a key before a row is at most ``ttl`` seconds old, or as
+    many as the column ``own_ttl`` says of that write, where it isn't null."""
     before = Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col(written), F.col(ts)), True).over(before)
-    age = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(last.cast("timestamp"))) / 1e6
-    return requests.withColumn("hit", F.coalesce(age <= ttl, F.lit(False)))
+    held = F.coalesce(F.col(own_ttl).cast("double"), F.lit(float(ttl))) if own_ttl else F.lit(float(ttl))
+    last = F.last(F.when(F.col(written), F.struct(F.col(ts).cast("timestamp").alias("t"), held.alias("ttl"))), True).over(before)
+    age = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(last["t"])) / 1e6
+    return requests.withColumn("hit", F.coalesce(age <= last["ttl"], F.lit(False)))
 
 
 def first_match(rows: DataFrame, patterns: list[tuple[str, float]], column: str, default: float, to: str = "ttl") -> DataFrame:

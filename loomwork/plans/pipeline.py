@@ -5,16 +5,19 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import urls
 from ..functions.safety import check_chunking, is_format
 from ..operators import chunking, embedding, html, search, sitemaps, store
+from ..sources import files, web
 
 
 @dataclass(frozen=True)
@@ -79,23 +82,62 @@ def chunk(docs: DataFrame, config: Config, text: str = "markdown") -> DataFrame:
     return found.select("id", "chunk", F.col("url").alias("source_url"), "chunk_type")
 
 
+def pages_of(spark: SparkSession, urls_in: list[str] | None = None, link_file: str | None = None, site: str | None = None, site_files: DataFrame | None = None, limit: int | None = None, **options) -> DataFrame:
+    """``page_id, url, html`` of pages that are fetched: a list of URLs, those of a link file, or those that
+    a site's sitemaps list (``site_files`` as in ``sitemaps.discover``); with ``limit`` the first ones."""
+    if urls_in is not None:
+        rows = spark.createDataFrame(list(enumerate(urls_in)), "ordinal long, url string")
+    elif link_file is not None:
+        rows = files.link_files(spark, link_file)
+    elif site is not None and site_files is not None:
+        found = sitemaps.discover(spark.createDataFrame([(site,)], "site string"), site_files)
+        rows = found.select(F.xxhash64("loc").alias("ordinal"), F.col("loc").alias("url"))
+    else:
+        raise ValueError("give URLs, a link file or a site with its files")
+    rows = rows.where(urls.is_valid(F.col("url")))
+    rows = rows.orderBy("ordinal", "url").limit(limit) if limit is not None else rows
+    return web.fetch_table(rows, **options).where("success").select(F.col("ordinal").alias("page_id"), "url", F.col("content").alias("html"))
+
+
 def run(spark: SparkSession, pages: DataFrame, folder: str, config: Config | None = None, steps: tuple[str, ...] = ("extract", "chunk", "embed", "store")) -> dict:
     """Runs the steps; each is written to the folder as a table, from which a later step goes on that
-    runs alone. Stops at a step that gives nothing. Returns success and rows by step."""
+    runs alone. ``store`` puts its chunks into the folder's collection, in place of those of equal id, and
+    keeps what earlier runs have put there. Stops at a step that gives nothing. Returns success, and rows
+    and seconds by step."""
     config = config or Config()
     made: dict[str, Callable[[], DataFrame]] = {
         "extract": lambda: extract(pages),
         "chunk": lambda: chunk(spark.read.parquet(f"{folder}/extract"), config),
         "embed": lambda: embedding.embed(spark.read.parquet(f"{folder}/chunk"), config.model, "chunk"),
-        "store": lambda: store.upsert(spark.createDataFrame([], "id string, chunk string, source_url string, chunk_type string, embedding array<float>"), spark.read.parquet(f"{folder}/embed"), order="chunk"),
     }
     counts: dict[str, int] = {}
+    took: dict[str, float] = {}
     for step in steps:
-        made[step]().write.mode("overwrite").parquet(f"{folder}/{step}")
-        counts[step] = spark.read.parquet(f"{folder}/{step}").count()
+        began = time.perf_counter()
+        if step == "store":
+            rows = spark.read.parquet(f"{folder}/embed")
+            dimension = len(embedding.MODELS[config.model](["probe"])[0])
+            counts[step] = store.Collection.create(spark, f"{folder}/store", dimension, config.metric).upsert(rows, "chunk")
+        else:
+            made[step]().write.mode("overwrite").parquet(f"{folder}/{step}")
+            counts[step] = spark.read.parquet(f"{folder}/{step}").count()
+        took[step] = time.perf_counter() - began
         if not counts[step]:
             break
-    return {"success": all(counts.get(s) for s in steps), "steps": {s: bool(counts.get(s)) for s in steps}, "document_counts": counts}
+    return {"success": all(counts.get(s) for s in steps), "steps": {s: bool(counts.get(s)) for s in steps}, "document_counts": counts, "seconds": took}
+
+
+def semantic_search(points: DataFrame, queries: DataFrame, config: Config | None = None, text: str = "chunk") -> DataFrame:
+    """``query_id, rank, id, score, content, source_url`` for a table ``query_id, query``: the queries are
+    embedded, twice as many hits as asked for are fetched by vector, and reranked by their texts."""
+    config = config or Config()
+    asked = embedding.embed(queries.select("query_id", "query"), config.model, "query").withColumnRenamed("embedding", "_q")
+    hits = search.top_k_each(points, asked, 2 * config.limit, config.threshold, config.metric, query_vector="_q")
+    found = hits.drop("rank").join(points.select(F.col("id"), F.col(text).alias("content"), "source_url"), "id").join(queries.select("query_id", "query"), "query_id")
+    score = F.round(search.rerank_score(F.col("score"), F.col("query"), F.col("content")), 9)
+    found = found.withColumn("score", score)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= config.limit).select("query_id", "rank", "id", "score", "content", "source_url")
 
 
 def answer_context(store_rows: DataFrame, query: str, config: Config | None = None) -> DataFrame:
@@ -107,6 +149,23 @@ def answer_context(store_rows: DataFrame, query: str, config: Config | None = No
     return search.context(hits.withColumn("q", F.lit(query)).withColumn("rank", -F.col("score")), ["q"]).withColumnRenamed("q", "query")
 
 
+def query_key(query: Column, config: Config, where: str = "") -> Column:
+    """A search's key in a cache: every setting that its result depends on, and the text."""
+    settings = [config.model, config.metric, str(config.limit), str(config.threshold), where]
+    return F.sha2(F.concat_ws("\x1f", query, *map(F.lit, settings)), 256)
+
+
+def search_cached(points: DataFrame, queries: DataFrame, cache: DataFrame, config: Config | None = None) -> tuple[DataFrame, DataFrame]:
+    """``semantic_search`` behind a cache ``key, rank, id, score, content, source_url``; returns the results
+    and the cache with what it lacked. Queries without hits are not cached."""
+    config = config or Config()
+    keyed = queries.select("query_id", "query", query_key(F.col("query"), config).alias("key"))
+    lacking = keyed.join(cache.select("key").distinct(), "key", "left_anti").dropDuplicates(["key"])
+    new = semantic_search(points, lacking, config).join(lacking.select("query_id", "key"), "query_id").drop("query_id")
+    filled = cache.unionByName(new.select(*cache.columns))
+    return keyed.select("query_id", "key").join(filled, "key").drop("key"), filled
+
+
 def execute(steps: list[dict], tables: dict[str, DataFrame], continue_on_error: bool = False) -> Iterator[dict]:
     """Runs declared steps ``{name, type, config}`` over named tables: ``scrape`` (pages to documents),
     ``chunk``, ``embed``, ``index`` (upsert), ``search``, ``filter_urls``. A step's result is the table
@@ -140,4 +199,4 @@ def execute(steps: list[dict], tables: dict[str, DataFrame], continue_on_error:
                 return
 
 
-__all__ = ["Config", "answer_context", "chunk", "execute", "extract", "is_format", "run"]
+__all__ = ["Config", "answer_context", "chunk", "execute", "extract", "is_format", "pages_of", "query_key", "run", "search_cached", "semantic_search"]

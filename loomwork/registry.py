@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .functions import safety, urls
 from .functions import text as T
@@ -83,7 +83,16 @@ def chunk_sliding(spark, sf_dir):
     return chunking.sliding(_docs(spark, sf_dir).drop("url"), "content").drop("content")
 
 
-@_query()
+@_query(
+    rf"""with t as (select doc_id, replace(text, chr(10), chr(10) || chr(10)) c from documents where length(text) > 0), p as (select doc_id, c, string_split_regex(c, '\n\s*\n') ps from t),
+    f as (select doc_id, list_reduce(list_transform(ps, lambda x: {{'done': []::varchar[], 'now': x}}), lambda a, x: case when a.now <> '' and length(a.now) + length(x.now) + 2 > 1000
+      then {{'done': list_append(a.done, a.now), 'now': a.now[greatest(length(a.now) - 199, 1):] || chr(10) || chr(10) || x.now}}
+      else {{'done': a.done, 'now': case when a.now = '' then x.now else a.now || chr(10) || chr(10) || x.now end}} end) a from p where length(c) > 1000 and len(ps) > 1),
+    w as (select doc_id, c, {_W % 'c'} ws from p where length(c) > 1000 and len(ps) = 1), n as (select *, greatest(1000 * len(ws) // length(c), 1) width from w where len(ws) > 0),
+    l as (select *, width - least(200 * len(ws) // length(c), width - 1) step from n), s as (select *, unnest(range(0, len(ws), step)) s from l),
+    packed as (select doc_id, case when a.now = '' then a.done else list_append(a.done, a.now) end cs from f union all select doc_id, [c] from p where length(c) <= 1000)
+    select doc_id, unnest(range(0, len(cs)))::int as "position", unnest(cs) chunk from packed union all select doc_id, (s // step)::int, array_to_string(ws[s + 1:s + width], ' ') from s"""
+)
 def chunk_recursive(spark, sf_dir):
     rows = _docs(spark, sf_dir).select("doc_id", F.regexp_replace("content", "\n", "\n\n").alias("content"))
     return chunking.recursive(rows).drop("content")
@@ -104,12 +113,12 @@ def markdown_sections(spark, sf_dir):
 
 @_query()
 def chunk_semantic(spark, sf_dir):
-    return chunking.semantic(_marked(spark, sf_dir), "md", "url", 500, 100).drop("md")
+    return chunking.semantic(_marked(spark, sf_dir), "md", "url", 500, 100)
 
 
 @_query()
 def chunk_breaks(spark, sf_dir):
-    return chunking.breaks(_marked(spark, sf_dir).drop("url"), "md").drop("md")
+    return chunking.breaks(_marked(spark, sf_dir).drop("url"), "md")
 
 
 @_query()
@@ -262,15 +271,20 @@ def export_urls(spark, sf_dir):
     return _sitemap(spark, sf_dir).select("ordinal", sitemaps.export_line().alias("line"))
 
 
-@_query("select page_id site, page_id % 7 ordinal, replace(url, '&', '&amp;') raw, url loc, '2024-01-02' lastmod, case when page_id % 2 = 0 then 0.5::double end priority from pages")
+@_query(
+    """select page_id site, replace(url, '&', '&amp;') raw, unnest(range(0, page_id % 7 + 1))::int ordinal,
+    case when unnest(range(0, page_id % 7 + 1)) < page_id % 7 then 'http://a/' || unnest(range(0, page_id % 7 + 1)) || '?"&<' else url end loc,
+    case when unnest(range(0, page_id % 7 + 1)) = page_id % 7 then '2024-01-02' end lastmod, case when unnest(range(0, page_id % 7 + 1)) = page_id % 7 and page_id % 2 = 0 then 0.5::double end priority
+    from pages where page_id % 5 <> 0"""
+)
 def sitemap_parse(spark, sf_dir):
-    """Sitemaps of as many entries as a page's number leaves over; the last one's columns."""
+    """Sitemaps of as many entries as a page's number leaves over, and one more; every fifth isn't well formed."""
     raw = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
     priority = F.when(F.col("page_id") % 2 == 0, F.lit("0.5")).otherwise(F.lit("high"))
-    blank = F.repeat(F.lit("<url><loc>http://a/</loc></url>"), (F.col("page_id") % 7).cast("int"))
-    entry = F.concat(F.lit("<?xml version='1.0'?><urlset>"), blank, F.lit("<url><loc> "), raw, F.lit(" </loc><lastmod>2024-01-02</lastmod><priority>"), priority, F.lit("</priority></url></urlset>"))
+    many = F.transform(F.sequence(F.lit(0), (F.col("page_id") % 7).cast("int")), lambda i: F.when(i < F.col("page_id") % 7, F.concat(F.lit("<url><loc>http://a/"), i.cast("string"), F.lit("?&quot;&#38;<![CDATA[<]]></loc></url>"))).otherwise(""))
+    entry = F.concat(F.lit("<?xml version='1.0'?><urlset>"), F.array_join(many, ""), F.lit("<url><loc> "), raw, F.lit(" </loc><lastmod>2024-01-02</lastmod><priority>"), priority, F.lit("</priority></url>"), F.when(F.col("page_id") % 5 != 0, "</urlset>").otherwise("</urlse>"))
     rows = _read(spark, sf_dir, "pages").select(F.col("page_id").alias("site"), raw.alias("raw"), entry.alias("content"))
-    return sitemaps.parse(rows).where("lastmod is not null").select("site", F.col("ordinal").cast("long").alias("ordinal"), "raw", "loc", "lastmod", "priority")
+    return sitemaps.parse(rows).select("site", "raw", "ordinal", "loc", "lastmod", "priority")
 
 
 @_query("select page_id site, url || '/s.xml' sitemap from pages where page_id % 2 = 0")
@@ -295,9 +309,19 @@ def html_links(spark, sf_dir):
     return html.convert(_read(spark, sf_dir, "pages"), "links", keep=("page_id",))
 
 
-@_query("select page_id, trim(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) title, '' description from pages")
+@_query(
+    r"""select page_id, trim(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) title,
+    'page ' || page_id description, 'a, "b" & c' keywords, case when page_id % 2 = 0 then 'T ' || page_id else '' end og_title, url || '/i.png' og_image, url from pages"""
+)
 def html_metadata(spark, sf_dir):
-    return html.convert(_read(spark, sf_dir, "pages"), "metadata", keep=("page_id",)).select("page_id", "metadata.title", "metadata.description")
+    """Pages with meta elements: names and properties, with entities, the first of a name counting."""
+    k = F.col("page_id").cast("string")
+    head = F.concat(
+        F.lit('<meta name="description" content="page '), k, F.lit('"><META NAME=keywords CONTENT=\'a, "b" &amp; c\'><meta name="description" content="again"><meta property="og:image" content="'), F.col("url"), F.lit('/i.png">'),
+        F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<meta property="og:title" content="T '), k, F.lit('">'))).otherwise(F.lit('<meta property="og:title">')),
+    )
+    pages = _read(spark, sf_dir, "pages").withColumn("html", F.concat(head, "html"))
+    return html.convert(pages, "metadata", keep=("page_id",)).select("page_id", "metadata.*")
 
 
 @_query("select page_id, regexp_extract(html, '(?s)<article>.*</article>') main_html from pages")
@@ -334,11 +358,19 @@ def markdown_document(spark, sf_dir):
     return html.markdown_document(_marked(spark, sf_dir), "md", "url", keep=("doc_id",))
 
 
-@_query(r"""select doc_id, trim(string_split(text, chr(10))[1]) title from documents where not regexp_matches(string_split(text, chr(10))[1], '[\x0b-\x1f\x85\xa0]') and trim(string_split(text, chr(10))[1]) <> ''""")
+_STRIP = r"regexp_replace(%s, '^[\t-\r\x1c-\x1f\x85\p{Z}]+|[\t-\r\x1c-\x1f\x85\p{Z}]+$', '', 'g')"
+
+
+@_query(
+    rf"""with {_DOCS}, h as (select doc_id, coalesce(nullif({_STRIP % "string_split(content, chr(10))[1]"}, ''), doc_id::varchar) from_head, source from docs join documents using (doc_id))
+    select doc_id, case doc_id % 3 when 0 then from_head when 1 then 'My Page ' || doc_id else source || '.example.com' end title from h"""
+)
 def document_titles(spark, sf_dir):
-    first = F.split("content", "\n")[0]
-    rows = _docs(spark, sf_dir).where(~first.rlike(r"[\x0b-\x1f\x85\xa0]") & (F.trim(first) != ""))
-    return rows.select("doc_id", T.title(F.concat(F.lit("# "), "content"), F.col("url")).alias("title"))
+    """By the first heading, the URL's last part, or the host, as there is one."""
+    k, number = F.col("doc_id") % 3, F.col("doc_id").cast("string")
+    rows = _docs(spark, sf_dir).withColumn("content", F.when(k == 0, F.concat(F.lit("# "), "content")).otherwise(F.lit("no heading")))
+    url = F.when(k == 1, F.concat(F.lit("https://h/a/my-page_"), number, F.lit("/"))).when(k == 2, F.regexp_extract("url", "^([^:/?#]+://[^/?#]*)", 1)).otherwise(F.col("url"))
+    return rows.select("doc_id", T.title(F.col("content"), url).alias("title"))
 
 
 @_query("select page_id, len(regexp_extract_all(html, '<a '))::int links, len(regexp_extract_all(html, '<p>'))::int paragraphs from pages")
@@ -379,9 +411,25 @@ def cache_misses(spark, sf_dir):
     return embedding.missing(docs, cache, "hashed")
 
 
-@_query("select doc_id, true has_embedding from documents")
+@_query(
+    rf"""with w as (select doc_id, {_W % "text"} ws from documents), v as (select doc_id, list_transform(range(1, 9), lambda k: len(list_filter(ws, lambda x: length(x) % 8 = k - 1))::double) v from w),
+    n as (select doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) n from v)
+    select doc_id, v embedding, round(case when n > 0 then 1.0 else 0.0 end, 4)::double norm, true has_embedding from n"""
+)
 def embed_chunks(spark, sf_dir):
-    return files.without_vectors(embedding.embed(_read(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "has_embedding")
+    """A model of word lengths; its vectors, and the table that stands for them where vectors aren't kept."""
+
+    def lengths(texts):
+        out = np.zeros((len(texts), 8))
+        for r, text in enumerate(texts):
+            for word in text.split():
+                out[r, len(word) % 8] += 1
+        return out
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = embedding.embed(docs, lengths, normalize=False).withColumn("e", F.col("embedding").cast("array<double>"))
+    rows = embedding.unit(rows).withColumn("norm", F.round(V.norm(F.col("embedding")), 4))
+    return files.without_vectors(rows).select("doc_id", F.col("e").alias("embedding"), "norm", "has_embedding")
 
 
 @_query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) norm from embeddings")
@@ -407,29 +455,62 @@ def vector_top_k(spark, sf_dir):
 
 
 @_query(
-    f"""select query_id, id, rank, round(score, 6) score from (select b.vec_id query_id, a.vec_id id, {_COS} score, row_number() over (partition by b.vec_id order by {_COS} desc, a.vec_id)::int as "rank"
-    from embeddings a, embeddings b where b.label = 0) where rank <= 5 and score >= 0"""
+    f"""select query_id, id, rank, round(score, 6) score from (select *, row_number() over (partition by query_id order by score desc, id)::int as "rank" from (
+    select b.vec_id query_id, a.vec_id id, round({_COS}, 9) score from embeddings a, embeddings b where b.vec_id % 100 = 0)) where rank <= 5 and score >= 0"""
 )
 def vector_top_k_each(spark, sf_dir):
+    """Every hundredth vector as a query against all."""
     points = _read(spark, sf_dir, "embeddings")
-    queries = points.where("label = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = points.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return search.top_k_each(points, queries, 5, 0.0).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @_query(
-    rf"""with d as (select doc_id, list_distinct({_W % 'lower(text)'}) t, len({_W % 'lower(text)'}) n from documents), q as (select list_distinct({_W % 'lower(text)'}) q from benchmark where item_id = 1)
-    select doc_id, round(0.8::double * 0.7 + len(list_intersect(q, t))::double / len(q) * 0.2 + least(1.0, 200.0::double / greatest(n, 1)) * 0.1, 9) score from d, q order by score desc, doc_id limit 50"""
+    f"""with p as (select a.vec_id id, b.vec_id query_id, round({_DOT % ('a.embedding', 'b.embedding')}, 9) score from embeddings a, embeddings b where b.vec_id % 100 = 0),
+    e as (select *, row_number() over (partition by query_id order by score desc, id) k from p)
+    select id, round(max(score), 6) score, arg_min(query_id, (-score, query_id)) query_id from e where k <= 5 and score >= 0 group by id order by max(score) desc, id limit 10"""
+)
+def vector_probe(spark, sf_dir):
+    """The ten best points over all probes, by dot product."""
+    points = _read(spark, sf_dir, "embeddings")
+    probes = points.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return search.probe(points, probes, metric="dot").withColumn("score", F.round("score", 6))
+
+
+@_query(
+    rf"""with d as (select doc_id, list_distinct({_W % 'lower(text)'}) t, len({_W % 'lower(text)'}) n from documents), q as (select item_id, list_distinct({_W % 'lower(text)'}) q from benchmark),
+    u as (select doc_id, n, unnest(t) w from d), v as (select item_id, len(q) m, unnest(q) w from q), c as (select item_id, doc_id, count(*) c from u join v using (w) group by all),
+    s as (select item_id, doc_id, round(0.8::double * 0.7 + coalesce(c, 0)::double / len(q) * 0.2 + least(1.0, 200.0::double / greatest(n, 1)) * 0.1, 9) score from q cross join d left join c using (item_id, doc_id))
+    select item_id, doc_id, rank, round(score, 6) score from (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as "rank" from s) where rank <= 10"""
 )
 def rerank(spark, sf_dir):
-    query = _read(spark, sf_dir, "benchmark").where("item_id = 1").first()["text"]
-    hits = _read(spark, sf_dir, "documents").select("doc_id", F.lit(0.8).alias("score"), "text", (-F.col("doc_id")).alias("o"))
-    scored = hits.withColumn("score", F.round(search.rerank_score(F.col("score"), F.lit(query), F.col("text")), 9))
-    return scored.orderBy(F.desc("score"), "doc_id").limit(50).select("doc_id", "score")
+    """The ten best of all documents for every item of the benchmark."""
+    queries = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    hits = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(0.8).alias("score"), F.col("text").alias("content"))
+    return search.rerank_each(hits, queries, 10).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
+
+
+@_query(
+    rf"""with d as (select doc_id, source, text, list_distinct({_W % 'lower(text)'}) t, len({_W % 'lower(text)'}) n from documents), q as (select item_id, list_distinct({_W % 'lower(text)'}) q from benchmark),
+    u as (select doc_id, unnest(t) w from d), v as (select item_id, unnest(q) w from q), c as (select item_id, doc_id, count(*) c from u join v using (w) group by all),
+    s as (select item_id, source, text, round(0.8::double * 0.7 + c::double / len(q) * 0.2 + least(1.0, 200.0::double / greatest(n, 1)) * 0.1, 9) score, doc_id from c join q using (item_id) join d using (doc_id)),
+    k as (select *, row_number() over (partition by item_id order by score desc, doc_id) k from s where score >= 0.6),
+    r as (select *, row_number() over (partition by item_id order by score desc, source, text) r from k where k <= 3)
+    select item_id, string_agg('Source: ' || source || chr(10) || 'Content: ' || text, chr(10) || chr(10) order by r) context from r group by item_id"""
+)
+def source_context(spark, sf_dir):
+    """For every item of the benchmark the three documents that rerank best, with their sources."""
+    docs = _read(spark, sf_dir, "documents")
+    queries = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    best = search.rerank_each(docs.select(F.col("doc_id").alias("id"), F.lit(0.8).alias("score"), F.col("text").alias("content")), queries, 3)
+    hits = best.join(docs.select(F.col("doc_id").alias("id"), "text", "source"), "id")
+    return search.source_context(hits, ["query_id"], content="text", source="source").withColumnRenamed("query_id", "item_id")
 
 
-@_query("""select source, string_agg('DOCUMENT ' || r || ':' || chr(10) || text, chr(10) || chr(10) order by r) context from (select source, text, row_number() over (partition by source order by doc_id) r from documents) group by source""")
+@_query("""select source, string_agg('DOCUMENT ' || r || ':' || chr(10) || text, chr(10) || chr(10) order by r) context from (select source, text, row_number() over (partition by source order by doc_id) r from documents) where r <= 5 group by source""")
 def context_assembly(spark, sf_dir):
-    return search.context(_read(spark, sf_dir, "documents"), ["source"], "doc_id", "text")
+    """The prompt's context from the first five documents of each source."""
+    return search.context(_read(spark, sf_dir, "documents"), ["source"], "doc_id", "text", 5)
 
 
 @_query(
@@ -580,15 +661,46 @@ def pages_to_chunks(spark, sf_dir):
     return pipeline.chunk(pipeline.extract(_read(spark, sf_dir, "pages")), pipeline.Config())
 
 
-@_query("select page_id, url from pages where regexp_matches(url, '^(?i:https?)://[^/?#]+') and not starts_with(url, 'http://t') order by page_id limit 20")
+@_query("select page_id, url from pages where regexp_matches(url, '^(?i:https?)://[^/?#]+') and not starts_with(url, 'http://t')")
 def failed_urls(spark, sf_dir):
-    """The first 20 valid URLs that aren't among those that succeeded."""
+    """The valid URLs that aren't among those that succeeded."""
     rows = sitemaps.valid(_read(spark, sf_dir, "pages").select("page_id", "url"), "url")
-    return rows.join(rows.where(F.startswith("url", F.lit("http://t"))), "page_id", "left_anti").orderBy("page_id").limit(20)
+    return rows.join(rows.where(F.startswith("url", F.lit("http://t"))), "page_id", "left_anti")
 
 
-@_query("select source, min(doc_id) doc_id, count(*) n from documents where doc_id in (select doc_id from labels) group by source")
+@_query("select source, min(doc_id) doc_id, count(*) n from documents group by source")
 def first_of_each(spark, sf_dir):
-    rows = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id", "left_semi").select("source", "doc_id")
+    rows = _read(spark, sf_dir, "documents").select("source", "doc_id")
     found = sitemaps.first_found(rows, "source", "doc_id")
-    return found.join(rows.groupBy("source").agg(F.count("*").alias("n")), "source").withColumn("_k", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("_k = 1").drop("_k")
+    return found.join(rows.groupBy("source").agg(F.count("*").alias("n")), "source")
+
+
+_SITES = f"s as (select page_id, url, {_ROOT} || '/' || page_id site from pages)"
+
+
+@_query(
+    f"""with {_SITES}, x as (
+    select site, url loc, null::varchar lastmod, 0.5::double priority from s where page_id % 4 = 0 union all select site, site || '/b', '2024-01-02', 0.9::double from s where page_id % 4 = 0 union all
+    select site, site || '/c', null, null from s where page_id % 4 = 1 union all select site, site || '/d', null, null from s where page_id % 4 = 2)
+    select site, loc, lastmod, priority from x where regexp_matches(loc, '^(?i:https?)://[^/?#]+')"""
+)
+def discover_urls(spark, sf_dir):
+    """Sites of four kinds: an index that robots.txt names, a sitemap at a usual place, a page of links, and
+    a sitemap that isn't well formed."""
+    k, site = F.col("page_id") % 4, F.concat(F.regexp_extract("url", "^([^:/?#]+://[^/?#]*)", 1), F.lit("/"), F.col("page_id").cast("string"))
+    rows = _read(spark, sf_dir, "pages").select("page_id", "url", site.alias("site"))
+    loc = lambda x: F.concat(F.lit("<url><loc>"), x, F.lit("</loc>"))
+    escaped = F.concat(F.lit("<![CDATA["), "url", F.lit("]]>"))
+    file = lambda path, kind, content: F.struct(F.concat("site", F.lit(path)).alias("url"), F.lit(kind).alias("kind"), content.alias("content"))
+    index = F.concat(F.lit("<sitemapindex><sitemap><loc>"), "site", F.lit("/1.xml</loc></sitemap><!-- <sitemap><loc>no</loc></sitemap> --></sitemapindex>"))
+    leaf = F.concat(F.lit("<s:urlset xmlns:s='u'>".replace("s:urlset xmlns:s", "urlset xmlns")), loc(escaped), F.lit("<priority>0.5</priority></url>"), loc(F.concat("site", F.lit("/b"))), F.lit("<lastmod>2024-01-02</lastmod><priority>0.9</priority></url></urlset>"))
+    files = F.when(k == 0, F.array(file("/robots.txt", "text/plain", F.concat(F.lit("Sitemap: "), "site", F.lit("/0.xml"))), file("/0.xml", "text/xml", index), file("/1.xml", "application/xml", leaf)))
+    files = files.when(k == 1, F.array(file("/sitemap_index.xml", "text/xml", F.concat(F.lit("<urlset>"), loc(F.concat("site", F.lit("/c"))), F.lit("</url></urlset>"))), file("/sitemap.html", "text/html", F.lit("<a href='/no'>x</a>"))))
+    files = files.when(k == 2, F.array(file("/sitemap.html", "text/html", F.concat(F.lit("<ul><li><a href='"), "site", F.lit("/d'>x</a></ul>")))))
+    files = files.otherwise(F.array(file("/sitemap.xml", "text/xml", F.lit("<urlset><url><loc>http://a/</loc></url>"))))
+    if not spark.sparkContext.getCheckpointDir():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(where or f"/tmp/loomwork-{spark.sparkContext.applicationId}")
+    return sitemaps.discover(rows, rows.select(F.inline(files)))

@@ -8,6 +8,7 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from http.client import HTTPException
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ def fetch_one(ordinal: int, url: str, fetch: Fetch, tries: int, timeout: float,
             error = None if status < 400 else f"HTTP {status}"
             if status not in (429, 503):
                 break
-        except OSError as problem:
+        except (OSError, ValueError, HTTPException) as problem:  # no connection, no URL, a cut body
             status, content, error, wait = None, None, f"{type(problem).__name__}: {problem}", None
         if k < tries:
             time.sleep(delay * 2 ** (k - 1) if wait is None else wait)
@@ -88,7 +89,7 @@ def pages(spark: SparkSession, urls: list[str], **options) -> DataFrame:
     return spark.read.format("web_pages").options(urls="\n".join(urls), **options).load()
 
 
-def fetch_table(urls: DataFrame, fetch: Fetch = fetch_http, partitions: int = 8, tries: int = 3, timeout: float = 30, pause: float = 0, delay: float = 1) -> DataFrame:
+def fetch_table(urls: DataFrame, fetch: Fetch = fetch_http, partitions: int | None = None, tries: int = 3, timeout: float = 30, pause: float = 0, delay: float = 1) -> DataFrame:
     """Pages of a table ``ordinal, url``. A host's URLs go to one task, which paces them."""
     import pyarrow as pa
 
@@ -97,9 +98,15 @@ def fetch_table(urls: DataFrame, fetch: Fetch = fetch_http, partitions: int = 8,
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [fetch_one(o, u, fetch, tries, timeout, pause, delay) for o, u in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            rows, held = [], 0
+            for o, u in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows.append(fetch_one(o, u, fetch, tries, timeout, pause, delay))
+                held += len(rows[-1][4] or "")
+                if held > 4 << 20 or len(rows) == 100:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), target)], schema=target)
+                    rows, held = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), target)], schema=target)
 
-    rows = urls.select(F.col("ordinal").cast("long"), "url").repartition(partitions, F.regexp_extract("url", r"^[^:/?#]+://([^/?#]*)", 1))
+    rows = urls.select(F.col("ordinal").cast("long"), "url").repartition(partitions or int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.regexp_extract("url", r"^[^:/?#]+://([^/?#]*)", 1))
     return rows.mapInArrow(work, SCHEMA)

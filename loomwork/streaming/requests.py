@@ -20,24 +20,29 @@ def windowed_stats(requests: DataFrame, window: str = "1 hour", late: str = "1 d
     return out.select(F.col("w.start").alias("start"), key, "requests", "errors", "mean_value")
 
 
-def throttle(requests: DataFrame, interval: float, delay: float = 2.0, key: str = "user_id", ts: str = "ts", ok: str = "ok") -> DataFrame:
+def throttle(requests: DataFrame, interval: float, delay: float = 2.0, key: str = "user_id", ts: str = "ts", ok: str = "ok", idle: str = "1 hour") -> DataFrame:
     """``key, ts, start, errors_in_row``: when each request of a stream may start, given that those of a
-    key keep an interval and that errors in a row back off; state is kept by key."""
+    key keep an interval and that errors in a row back off. State is kept by key, and forgotten once the
+    key has been idle for that long. The rows of a key in a micro-batch are taken in order of time."""
     schema = f"{key} long, ts timestamp, start timestamp, errors_in_row int"
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def work(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         free, errors = state.get if state.exists else (float("-inf"), 0)
-        for rows in batches:
-            rows = rows.sort_values("ts", kind="stable")
-            starts, runs = [], []
-            for t, fine in zip(rows["ts"].astype("datetime64[us]").astype("int64") / 1e6, rows["ok"]):
-                start = max(t, free)
-                errors = 0 if fine else errors + 1
-                free = start + (min(60.0, delay * 2 ** (errors - 1)) if errors > 1 else interval)
-                starts.append(start)
-                runs.append(errors)
-            state.update((float(free), int(errors)))
-            yield pd.DataFrame({key: k[0], "ts": rows["ts"], "start": pd.Series(np.round(np.array(starts) * 1e6).astype("int64").astype("datetime64[us]"), index=rows.index), "errors_in_row": pd.Series(runs, index=rows.index, dtype="int32")})
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "ok"], kind="stable", ignore_index=True)
+        starts, runs = [], []
+        for t, fine in zip(rows["ts"].astype("datetime64[us]").astype("int64") / 1e6, rows["ok"]):
+            start = max(t, free)
+            errors = 0 if fine else errors + 1
+            free = start + (min(60.0, delay * 2 ** (errors - 1)) if errors > 1 else interval)
+            starts.append(start)
+            runs.append(errors)
+        state.update((float(free), int(errors)))
+        state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({key: k[0], "ts": rows["ts"], "start": pd.Series(np.round(np.array(starts) * 1e6).astype("int64").astype("datetime64[us]")), "errors_in_row": pd.Series(runs, dtype="int32")})
 
     rows = requests.select(key, F.col(ts).cast("timestamp").alias("ts"), F.col(ok).alias("ok"))
-    return rows.groupBy(key).applyInPandasWithState(work, schema, "free double, errors int", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy(key).applyInPandasWithState(work, schema, "free double, errors int", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -166,6 +166,7 @@ def test_web(spark):
         return (503, "", 0.0) if "busy" in url else (200, f"<p>{url}</p>", None)
 
     table = spark.createDataFrame([(0, "http://a/ok"), (1, "http://a/fail"), (2, "http://b/busy")], "ordinal long, url string")
+    assert web.fetch_one(0, "foo", web.fetch_http, 1, 1, 0, 0)[2] is False and web.fetch_one(0, "http://exa mple/", web.fetch_http, 1, 1, 0, 0)[5].startswith("InvalidURL")
     rows = web.fetch_table(table, fetch, 2, tries=2, delay=0).orderBy("ordinal").collect()
     assert [(r["success"], r["attempts"], r["status"]) for r in rows] == [(True, 1, 200), (False, 2, None), (False, 2, 503)]
     assert web.pages(spark, ["http://127.0.0.1:9/"], tries="1", timeout="1").first()["success"] is False
@@ -175,7 +176,21 @@ def test_pipeline(spark, tmp_path):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     out = pipeline.run(spark, pages, str(tmp_path))
     assert out["success"] and out["document_counts"]["extract"] == pages.count()
-    held = spark.read.parquet(f"{tmp_path}/store")
+    held = store.Collection.load(spark, f"{tmp_path}/store").read(spark)
+    again = pipeline.run(spark, pages.limit(3).withColumn("url", F.concat("url", F.lit("/other"))), str(tmp_path))
+    assert again["document_counts"]["store"] == held.count() + again["document_counts"]["chunk"]
+    held = store.Collection.load(spark, f"{tmp_path}/store").read(spark)
+    with pytest.raises(ValueError):
+        store.Collection.create(spark, f"{tmp_path}/store", 3)
+    with pytest.raises(ValueError):
+        store.Collection.load(spark, f"{tmp_path}/store").upsert(held.limit(1).withColumn("embedding", F.array(F.lit(1.0))))
+    asked = spark.createDataFrame([(7, held.orderBy("id").first()["chunk"])], "query_id long, query string")
+    found = pipeline.semantic_search(held, asked).collect()
+    assert found and found[0]["score"] == max(r["score"] for r in found) and [r["rank"] for r in found] == list(range(1, len(found) + 1))
+    cache = spark.createDataFrame([], "key string, rank int, id string, score double, content string, source_url string")
+    first, filled = pipeline.search_cached(held, asked, cache)
+    second, same = pipeline.search_cached(held, asked, spark.createDataFrame(filled.collect(), filled.schema))
+    assert sorted(map(str, first.collect())) == sorted(map(str, second.collect())) and same.count() == len(found)
     text = held.orderBy("id").first()["chunk"]
     assert pipeline.answer_context(held, text).first()["context"].startswith("DOCUMENT 1:\n")
     steps = [{"name": "docs", "type": "scrape", "config": {"input": "pages", "limit": 3}}, {"name": "x", "type": "what", "config": {"input": "docs"}}, {"name": "c", "type": "chunk", "config": {"input": "docs"}}]
