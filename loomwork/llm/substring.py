@@ -13,7 +13,7 @@ A text that is the copy of another as a whole is a repeat from end to end withou
 Scale: the anchors (a fifth of the words, 20 bytes each) are shuffled once by hash, the texts once to
 meet their repeated anchors, and full windows exist only where something repeats. Equal anchors and equal
 windows are gathered in every slice of texts before they are shuffled: one of them goes by its hash, and
-the others, of which it is known already that they repeat, by hashes of their own. So a passage that any
+the others, of which it is known already that they repeat, by their document's. So a passage that any
 number of documents share is at most one row a slice where its hash is sorted. Copies are found by their
 texts' hashes, least ids first taken in each task; blank and short texts are in no group. Full windows
 are told apart by 96 bits of hash, at which 10^13 of them have a false pair once in a thousand corpora.
@@ -63,8 +63,8 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(width: int):
-    """``h, same, place, many``: of equal anchors of a slice one goes under their hash, with ``many`` if
-    there are several occurrences; the others under hashes of their own."""
+    """``h, same, place``: of equal anchors of a slice one goes under their hash, the others under their
+    text's. ``place`` is below zero (-1 - place) if it is known already that the anchor occurs elsewhere."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,16 +80,18 @@ def _anchors(width: int):
                 other = ~head & ~again
                 many = other.copy()
                 many[first[other]] = True
-                h[other] = mix(same[other] ^ mix(place[other].astype(np.uint64) + np.uint64(1)))
-                keep = ~again
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(same[keep].view(np.int64)), pa.array(place[keep].astype(np.int32)), pa.array(many[keep])], ["h", "same", "place", "many"])
+                h[other] = mix(same[other])
+                place = np.where(many, -1 - place, place).astype(np.int32)
+                keep = np.flatnonzero(~again)
+                keep = keep[np.argsort(order[keep])]  # in the order of the texts, whose hashes then compress
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(same[keep].view(np.int64)), pa.array(place[keep])], ["h", "same", "place"])
 
     return work
 
 
 def _windows(length: int, width: int):
-    """``h, rest, doc, mark, place, many``: of equal windows of a slice the first goes under its hash, the
-    others, which repeat it, with ``many`` under hashes of their own."""
+    """``h, rest, doc, mark, place``: of equal windows of a slice the first goes under its hash, the others,
+    which repeat it, under their document's, with a ``place`` below zero (-1 - place)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,10 +119,12 @@ def _windows(length: int, width: int):
                 h, rest, of, place = h[order], rest[order], of[order], place[order]
                 many = (first != np.arange(len(first))) & (rest == rest[first])
                 doc, mark = ids.take(pa.array(of)), part.column("mark").take(pa.array(of))
-                known = pa.array(np.flatnonzero(many))
-                own = mix(of[many].astype(np.uint64) << np.uint64(32) ^ place[many].astype(np.uint64) ^ mix(doc.take(known).fill_null(0).to_numpy().view(np.uint64)))
-                h[many] = own
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(rest.astype(np.int64)).cast(pa.int64()), doc, mark, pa.array(place.astype(np.int32)), pa.array(many)], ["h", "rest", "doc", "mark", "place", "many"])
+                h[many] = mix(mark.to_numpy()[many].astype(np.uint64) ^ mix(doc.fill_null(0).to_numpy()[many].view(np.uint64)))
+                rest[many] = 0
+                place = np.where(many, -1 - place, place).astype(np.int32)
+                back = np.argsort(order)  # in the order of the texts, whose ids then compress
+                at = pa.array(back)
+                yield pa.RecordBatch.from_arrays([pa.array(h[back].view(np.int64)), pa.array(rest[back].astype(np.int64)), doc.take(at), mark.take(at), pa.array(place[back])], ["h", "rest", "doc", "mark", "place"])
 
     return work
 
@@ -130,6 +134,10 @@ def _other(c: Column, here: Column) -> Column:
     return c.isNotNull() & ~c.eqNullSafe(here)
 
 
+def _place() -> Column:
+    return F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place"))
+
+
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """``doc_id, mark, start_word, end_word``: maximal runs of words of a document that earlier repeats
     cover (end exclusive). ``mark`` is the text's 32-bit hash, which with the id names the document."""
@@ -140,11 +148,11 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     here = F.struct("same", "place")
     by_hash = Window.partitionBy("h").orderBy("same", "place")
     places = (
-        keyed.select("same", "text").mapInArrow(_anchors(width), "h long, same long, place int, many boolean")
+        keyed.select("same", "text").mapInArrow(_anchors(width), "h long, same long, place int")
         .withColumns({"before": F.lag(here).over(by_hash), "after": F.lead(here).over(by_hash)})
-        .where(F.col("many") | _other(F.col("before"), here) | _other(F.col("after"), here))
+        .where((F.col("place") < 0) | _other(F.col("before"), here) | _other(F.col("after"), here))
         .groupBy("same")
-        .agg(F.collect_set("place").alias("places"))
+        .agg(F.collect_set(_place()).alias("places"))
     )
     # Copies of a text repeat all of it; only the first of them goes on to full windows.
     firsts = keyed.where("text != ''").groupBy("same").agg(F.min("doc").alias("least"), F.bool_or(F.col("doc").isNull()).alias("unnamed"), F.count("*").alias("n"))
@@ -154,8 +162,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     found = keyed.join(chosen, is_first).select("doc", "mark", "text", "places")
     by_window = Window.partitionBy("h", "rest").orderBy("doc", "mark", "place")
     occurrence = F.struct("doc", "mark", "place")
-    windows = found.mapInArrow(_windows(min_words, width), "h long, rest long, doc long, mark int, place int, many boolean")
-    repeats = windows.withColumn("origin", F.first(occurrence).over(by_window)).where(F.col("many") | _other(F.col("origin"), occurrence))
+    windows = found.mapInArrow(_windows(min_words, width), "h long, rest long, doc long, mark int, place int")
+    repeats = windows.withColumn("origin", F.first(occurrence).over(by_window)).where((F.col("place") < 0) | _other(F.col("origin"), occurrence)).withColumn("place", _place())
     in_doc = Window.partitionBy("doc", "mark").orderBy("place")
     runs = repeats.select("doc", "mark", "place").withColumn("before", F.lag("place").over(in_doc))
     runs = runs.withColumn("run", F.count_if(F.col("before").isNull() | (F.col("place") > F.col("before") + min_words)).over(in_doc))
