@@ -24,6 +24,7 @@ class Collection:
     key: str = "id"
     vector: str = "embedding"
     version: str | None = None
+    previous: str | None = None
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, dimension: int, distance: str = "cosine", **names: str) -> Collection:
@@ -76,7 +77,8 @@ class Collection:
 
     def upsert(self, rows: DataFrame, order: str | None = None) -> int:
         """Puts rows in as a new version, in place of those of equal key, and returns how many points there
-        are then. Readers see the old version until the new one is whole; the one before it is deleted."""
+        are then. Readers see the old version until the new one is whole, and may go on with it; the one before
+        that is deleted."""
         spark = rows.sparkSession
         wrong = rows.where(F.col(self.vector).isNotNull() & (F.size(self.vector) != self.dimension)).select(self.key).head()
         if wrong:
@@ -86,10 +88,10 @@ class Collection:
             old = rows.where("false")
         name = f"version-{uuid.uuid4().hex}"
         upsert(old, rows, self.key, order).write.parquet(f"{self.path}/{name}")
-        before, self.version = self.version, name
+        gone, self.previous, self.version = self.previous, self.version, name
         self._point(spark)
-        if before:
-            fs, at = self._place(spark, f"{self.path}/{before}")
+        if gone:
+            fs, at = self._place(spark, f"{self.path}/{gone}")
             fs.delete(at, True)
         return self.read(spark).count()
 

@@ -20,10 +20,11 @@ def windowed_stats(requests: DataFrame, window: str = "1 hour", late: str = "1 d
     return out.select(F.col("w.start").alias("start"), key, "requests", "errors", "mean_value")
 
 
-def throttle(requests: DataFrame, interval: float, delay: float = 2.0, key: str = "user_id", ts: str = "ts", ok: str = "ok", idle: str = "1 hour") -> DataFrame:
+def throttle(requests: DataFrame, interval: float, delay: float = 2.0, key: str = "user_id", ts: str = "ts", ok: str = "ok", idle: str = "1 hour", late: str = "1 day") -> DataFrame:
     """``key, ts, start, errors_in_row``: when each request of a stream may start, given that those of a
-    key keep an interval and that errors in a row back off. State is kept by key, and forgotten once the
-    key has been idle for that long. The rows of a key in a micro-batch are taken in order of time."""
+    key keep an interval and that errors in a row back off. State is kept by key, and forgotten once
+    newer rows show that the key has been idle for that long; rows over ``late`` older than others are
+    dropped. The rows of a key in a micro-batch are taken in order of time."""
     schema = f"{key} long, ts timestamp, start timestamp, errors_in_row int"
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
@@ -41,8 +42,9 @@ def throttle(requests: DataFrame, interval: float, delay: float = 2.0, key: str
             starts.append(start)
             runs.append(errors)
         state.update((float(free), int(errors)))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(int(starts[-1] * 1000), state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame({key: k[0], "ts": rows["ts"], "start": pd.Series(np.round(np.array(starts) * 1e6).astype("int64").astype("datetime64[us]")), "errors_in_row": pd.Series(runs, dtype="int32")})
 
     rows = requests.select(key, F.col(ts).cast("timestamp").alias("ts"), F.col(ok).alias("ok"))
-    return rows.groupBy(key).applyInPandasWithState(work, schema, "free double, errors int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = rows.withWatermark("ts", late) if requests.isStreaming else rows
+    return rows.groupBy(key).applyInPandasWithState(work, schema, "free double, errors int", "append", GroupStateTimeout.EventTimeTimeout)
