@@ -132,7 +132,7 @@ def semantic_search(points: DataFrame, queries: DataFrame, config: Config | None
     embedded, twice as many hits as asked for are fetched by vector, and reranked by their texts."""
     config = config or Config()
     asked = embedding.embed(queries.select("query_id", "query"), config.model, "query").withColumnRenamed("embedding", "_q")
-    hits = search.top_k_each(points, asked, 2 * config.limit, config.threshold, config.metric, query_vector="_q")
+    hits = search.top_k_each(points, asked, 2 * config.limit, config.threshold, config.metric, id_col="id", query_vector="_q")
     found = hits.drop("rank").join(points.select(F.col("id"), F.col(text).alias("content"), "source_url"), "id").join(queries.select("query_id", "query"), "query_id")
     score = F.round(search.rerank_score(F.col("score"), F.col("query"), F.col("content")), 9)
     found = found.withColumn("score", score)
