@@ -41,7 +41,7 @@ from ._words import Words, mix, slices, text_bytes
 
 PERIOD = 31
 #: Bytes of texts among which equal anchors and windows are gathered.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Every remainder modulo PERIOD is a difference of two of these.
 COVER = (0, 1, 3, 8, 12, 18)
 _SOLID = "[^ \\t\\n\\r\\x0b\\f]+"

@@ -42,7 +42,7 @@ from ._words import Words, slices
 from .substring import ORACLE, keyed_texts
 
 #: Bytes of texts that get a suffix array; arrival batches of a table that is there as a whole.
-SLICE, BATCHES = 4 << 20, 4
+SLICE, BATCHES = 2 << 20, 4
 _ROUTED = "part int, size int, n int, n_docs int, block binary, doc long, mark int, ranges array<int>"
 _FOUND = "doc long, mark int, ranges array<int>"
 _CODEC = "zstd"
