@@ -115,6 +115,11 @@ def test_html(spark):
         html.convert(pages, "nothing")
 
 
+def test_title_references():
+    for raw, title in (("token = &quot;0b&quot;", 'token = "0b"'), ("the&&& ver&amp", "the&&& ver&"), ("a &am", "a &am"), ("&amp;lt; &#233;", "&lt; é")):
+        assert html.metadata(html.parse(f"<title>{raw}</title>"), "u")["title"] == title
+
+
 def test_markdown_document():
     doc = html.parse_markdown("# T\n\n## H\npara [a](u) ![i](s)\n- x\n- y\n\n> q\n```py\n# code\n```\n1. one\nend", "b")
     assert doc["title"] == "T" and doc["headings"] == [{"level": 2, "text": "H"}] and doc["lists"] == [{"ordered": False, "items": ["x", "y"]}, {"ordered": False, "items": ["one"]}]
