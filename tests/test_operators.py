@@ -3,18 +3,28 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loomwork.functions import safety, urls
 from loomwork.functions import text as T
 from loomwork.functions import vectors as V
+from loomwork.operators import _rows
 from loomwork.operators import chunking, embedding, html, search, sitemaps, stats, store
 from loomwork.plans import pipeline
 from loomwork.sources import files, web
 from loomwork.streaming import requests as streams
 
 
+def tasks(monkeypatch, rows):
+    """The functions that tables of the type of ``rows`` are mapped with from now on."""
+    got, kind = [], type(rows)
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, work, schema: (got.append(work), plain(self, work, schema))[1])
+    return got
+
+
 def one(spark, column, **values):
     return spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items())).select(column.alias("x")).first()["x"]
 
@@ -120,6 +130,25 @@ def test_title_references():
         assert html.metadata(html.parse(f"<title>{raw}</title>"), "u")["title"] == title
 
 
+def test_slices():
+    batch = pa.RecordBatch.from_pydict({"t": ["ab", None, "", "c" * 9, "d", "é"], "k": range(6)})
+    parts = lambda **most: [p.column("k").to_pylist() for p in _rows.slices(batch, "t", **most)]
+    assert parts(size=3) == [[0, 1, 2], [3], [4, 5]] and parts(rows=4) == [[0, 1, 2, 3], [4, 5]] and parts() == [[0, 1, 2, 3, 4, 5]]
+    assert list(_rows.slices(batch.slice(0, 0), "t")) == [] and [p.column("k").to_pylist() for p in _rows.slices(batch.slice(3), "t", size=2)] == [[3], [4], [5]]
+
+
+def test_pages_in_parts(spark, monkeypatch):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    works = tasks(monkeypatch, pages)
+    html.convert(pages, "json", "xml", "blocks", "text", keep=("page_id",))
+    html.markdown_document(pages, "html", keep=("page_id",))
+    assert len(works) == 2
+    for work, name in zip(works, ("_html", "_text")):
+        batch = pa.RecordBatch.from_pydict({"page_id": range(100), name: [f"<p>{k}</p><!--{'x' * 100_000}-->" for k in range(100)], "_url": ["http://h/"] * 100})
+        parts = [p.column("page_id").to_pylist() for p in work(iter([batch]))]
+        assert sum(parts, []) == list(range(100)) and max(map(len, parts)) <= 10
+
+
 def test_markdown_document():
     doc = html.parse_markdown("# T\n\n## H\npara [a](u) ![i](s)\n- x\n- y\n\n> q\n```py\n# code\n```\n1. one\nend", "b")
     assert doc["title"] == "T" and doc["headings"] == [{"level": 2, "text": "H"}] and doc["lists"] == [{"ordered": False, "items": ["x", "y"]}, {"ordered": False, "items": ["one"]}]
