@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from loomwork import registry
 from loomwork.functions import safety, urls
 from loomwork.functions import text as T
 from loomwork.functions import vectors as V
@@ -149,6 +150,14 @@ def test_pages_in_parts(spark, monkeypatch):
         assert sum(parts, []) == list(range(100)) and max(map(len, parts)) <= 10
 
 
+@pytest.mark.parametrize("name", ["page_counts", "html_formats", "html_document", "html_links"])
+def test_queries_of_pages_in_parts(spark, monkeypatch, name):
+    works = tasks(monkeypatch, spark.range(1))
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    batch = pa.RecordBatch.from_pydict({"page_id": range(5000), "_html": ["<p>a<a href='b'>"] * 5000, "_url": ["http://h/"] * 5000})
+    assert [p.num_rows for p in works[-1](iter([batch]))] == [2000, 2000, 1000]
+
+
 def test_markdown_document():
     doc = html.parse_markdown("# T\n\n## H\npara [a](u) ![i](s)\n- x\n- y\n\n> q\n```py\n# code\n```\n1. one\nend", "b")
     assert doc["title"] == "T" and doc["headings"] == [{"level": 2, "text": "H"}] and doc["lists"] == [{"ordered": False, "items": ["x", "y"]}, {"ordered": False, "items": ["one"]}]
