@@ -15,6 +15,8 @@ from ..functions import vectors as V
 
 #: Queries that are sent to the tasks at once.
 QUERIES = 16_384
+#: Queries that meet the points in one product, and the scores of a product.
+TILE, SCORES = 1024, 1 << 19
 NO_CONTEXT = "No relevant information was found."
 
 
@@ -69,43 +71,57 @@ def _best_of(scores: np.ndarray, ids: np.ndarray, limit: int, threshold: float)
     return row[keep], ids[at[keep]], found[keep]
 
 
+def _merged(best: tuple, new: tuple, limit: int) -> tuple:
+    """The ``limit`` best of each row in two of ``_best_of``'s results."""
+    row, ids, found = (np.concatenate([a, b]) for a, b in zip(best, new))
+    order = np.lexsort([ids, -found, row])
+    row, ids, found = row[order], ids[order], found[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < limit
+    return row[keep], ids[keep], found[keep]
+
+
 def top_k_each(points: DataFrame, queries: DataFrame, limit: int = 5, threshold: float = 0.7, metric: str = "cosine", vector: str = "embedding", id_col: str = "vec_id", query_id: str = "query_id", query_vector: str = "query", block: int = QUERIES) -> DataFrame:
     """``query_id, id, score, rank`` for a table of queries against all points, exactly. Queries go in
     blocks of about ``block``, each of which is sent to the tasks as a matrix and meets the points in
-    products of matrices; a task keeps the best of each query, so what is shuffled is ``limit`` rows a
-    query and task. Scores are rounded to nine decimals, and ties go by id. Null vectors match nothing."""
+    products of matrices of about ``SCORES`` scores, however many queries and points there are; a task keeps
+    the best of each query, so what is shuffled is ``limit`` rows a query and task. Scores are rounded to nine decimals, and ties go by id. Null vectors match nothing."""
     named = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vector).cast("array<double>").alias("_q")).where("_q is not null")
     blocks = max(1, -(-named.count() // block))
     kind = "string" if points.schema[id_col].dataType.simpleString() == "string" else "bigint"
     rows = points.select(F.col(id_col).cast(kind).alias("id"), F.col(vector).cast("array<double>").alias("_v")).where("_v is not null and id is not null")
 
     def against(number: np.ndarray, q: np.ndarray):
-        long = np.linalg.norm(q, axis=1)
+        tiles = [(q[at : at + TILE], np.linalg.norm(q[at : at + TILE], axis=1)) for at in range(0, len(q), TILE)]
+        step = max(64, SCORES // max(1, min(len(q), TILE)))
+
+        def score(some: np.ndarray, long: np.ndarray, v: np.ndarray, size: np.ndarray) -> np.ndarray:
+            out = some @ v.T
+            if metric == "euclid":
+                out *= 2
+                np.subtract((long**2)[:, None] + (size**2)[None, :], out, out=out)
+                np.negative(np.sqrt(np.maximum(out, 0, out=out), out=out), out=out)
+            elif metric != "dot":
+                scale = long[:, None] * size[None, :]
+                some_length = scale > 0
+                np.divide(out, scale, out=out, where=some_length)
+                out[~some_length] = 0.0
+            return np.round(out, 9, out=out)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = np.zeros(0, np.int64), np.zeros(0, str if kind == "string" else np.int64), np.zeros(0)
+            none = np.zeros(0, np.int64), np.zeros(0, str if kind == "string" else np.int64), np.zeros(0)
+            best = [none] * len(tiles)
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                every, step = np.array(batch.column("id").to_pylist()), max(64, (1 << 22) // max(1, len(q)))
+                every = np.array(batch.column("id").to_pylist())
                 flat = batch.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 for at in range(0, batch.num_rows, step):
                     v, ids = flat[at : at + step], every[at : at + step]
-                    dots, size = q @ v.T, np.linalg.norm(v, axis=1)
-                    if metric == "dot":
-                        scores = dots
-                    elif metric == "euclid":
-                        scores = -np.sqrt(np.maximum((long**2)[:, None] + (size**2)[None, :] - 2 * dots, 0))
-                    else:
-                        scale = long[:, None] * size[None, :]
-                        scores = np.where(scale > 0, dots / np.where(scale > 0, scale, 1), 0.0)
-                    new = _best_of(np.round(scores, 9), ids, limit, threshold)
-                    row, ids, found = (np.concatenate([a, b]) for a, b in zip(best, new))
-                    order = np.lexsort([ids, -found, row])
-                    row, ids, found = row[order], ids[order], found[order]
-                    keep = np.arange(len(row)) - np.searchsorted(row, row) < limit
-                    best = row[keep], ids[keep], found[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(number[best[0]]), pa.array(best[1].tolist(), pa.string() if kind == "string" else pa.int64()), pa.array(best[2])], ["query_id", "id", "score"])
+                    size = np.linalg.norm(v, axis=1)
+                    for k, (some, long) in enumerate(tiles):
+                        best[k] = _merged(best[k], _best_of(score(some, long, v, size), ids, limit, threshold), limit)
+            for k, (row, ids, found) in enumerate(best):
+                yield pa.RecordBatch.from_arrays([pa.array(number[row + k * TILE]), pa.array(ids.tolist(), pa.string() if kind == "string" else pa.int64()), pa.array(found)], ["query_id", "id", "score"])
 
         return work
 
@@ -173,12 +189,7 @@ def rerank_each(hits: DataFrame, queries: DataFrame, limit: int, content: str =
                     common = np.zeros((len(texts), part.num_rows))
                     np.add.at(common, owner, has.T[word_of].astype(np.float64))
                     scores = part.column("score").to_numpy()[None, :] * 0.7 + common / size[:, None] * 0.2 + np.minimum(1.0, 200.0 / length)[None, :] * 0.1
-                    new = _best_of(np.round(scores, 9), part.column("id").to_numpy(), limit, -np.inf)
-                    row, ids, found = (np.concatenate([a, b]) for a, b in zip(best, new))
-                    order = np.lexsort([ids, -found, row])
-                    row, ids, found = row[order], ids[order], found[order]
-                    keep = np.arange(len(row)) - np.searchsorted(row, row) < limit
-                    best = row[keep], ids[keep], found[keep]
+                    best = _merged(best, _best_of(np.round(scores, 9), part.column("id").to_numpy(), limit, -np.inf), limit)
             yield pa.RecordBatch.from_arrays([pa.array(number[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "id", "score"])
 
         return work

@@ -1,6 +1,7 @@
 """Hand-derived cases."""
 
 import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -174,6 +175,32 @@ def test_search(spark):
     assert hits.first().asDict() == {"content": "t", "source_url": "u", "score": 0.5}
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclid"])
+def test_search_in_tiles(spark, monkeypatch, metric):
+    make = np.random.default_rng(5)
+    v, q = make.normal(size=(4000, 8)), make.normal(size=(1500, 8))
+    v[7], v[11], v[3000:3100] = 0, np.nan, v[0]
+    table = lambda x, names: spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], names)
+    points, works = table(v[:5], "vec_id long, embedding array<double>"), tasks(monkeypatch, spark.range(1))
+    search.top_k_each(points, table(q, "query_id long, query array<double>"), 5, -np.inf, metric)
+    flat = pa.ListArray.from_arrays(np.arange(0, v.size + 1, 8, dtype=np.int32), v.ravel())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), flat], ["id", "_v"])
+    tracemalloc.start()
+    got = [r for b in works[-1](iter([batch.slice(0, 1500), batch.slice(1500)])) for r in zip(*(b.column(c).to_pylist() for c in ("query_id", "id", "score")))]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20
+    q = q[::50]
+    long = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
+    with np.errstate(all="ignore"):
+        scores = {"dot": q @ v.T, "euclid": -np.linalg.norm(q[:, None] - v[None], axis=2), "cosine": np.where(long > 0, q @ v.T / long, 0)}[metric]
+    scores = np.round(scores, 9)
+    for k in range(len(q)):
+        best = sorted((-s, i) for i, s in enumerate(scores[k]) if s == s)[:5]
+        mine = [(-s, i) for n, i, s in got if n == k * 50 and s == s]
+        assert [i for _, i in mine] == [i for _, i in best] and np.allclose([s for s, _ in mine], [s for s, _ in best])
+
+
 def test_embedding(spark):
     docs = spark.createDataFrame([(1, "hello world hello"), (2, ""), (3, None)], "doc_id long, text string")
     rows = {r["term"]: r["weight"] for r in embedding.count_vectors(docs).collect()}
