@@ -375,8 +375,8 @@ def document_titles(spark, sf_dir):
 
 @_query("select page_id, len(regexp_extract_all(html, '<a '))::int links, len(regexp_extract_all(html, '<p>'))::int paragraphs from pages")
 def page_counts(spark, sf_dir):
-    rows = html.convert(_read(spark, sf_dir, "pages"), "blocks", keep=("page_id",))
-    count = lambda kind: F.size(F.filter("blocks", lambda b: b["type"] == kind))
+    rows = html.convert(_read(spark, sf_dir, "pages"), "kinds", keep=("page_id",))
+    count = lambda kind: F.size(F.filter("kinds", lambda k: k == kind))
     return rows.select("page_id", count("a").alias("links"), count("p").alias("paragraphs"))
 
 

@@ -159,6 +159,20 @@ def test_queries_of_pages_in_parts(spark, monkeypatch, name):
     assert [p.num_rows for p in works[-1](iter([batch]))] == [2000, 2000, 1000]
 
 
+def test_page_counts_of_nested_blocks(spark, monkeypatch):
+    works = tasks(monkeypatch, spark.range(1))
+    registry.QUERIES["page_counts"](spark, "/root/testdata/sf0.001")
+    page = "<ul>" + f"<blockquote>{'x' * 1000}" * 600 + "<p>a<a href='b'>c</a><p>d<P>e<br><!-- <p> -->"
+    batch = pa.RecordBatch.from_pydict({"page_id": [1, 2], "_html": [page, ""], "_url": ["http://h/"] * 2})
+    tracemalloc.start()
+    got = [r for b in works[-1](iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns))]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20
+    assert got == [(1, ["ul", *["blockquote"] * 600, "p", "a", "p", "p"]), (2, [])]
+    assert [b["type"] for b in html.OUTPUTS["blocks"][2](html.parse("<ul><li><p>a<a href='b'>c</a></ul><div><h2>d"), "", "http://h/")] == html.kinds(html.parse("<ul><li><p>a<a href='b'>c</a></ul><div><h2>d"))
+
+
 def test_markdown_document():
     doc = html.parse_markdown("# T\n\n## H\npara [a](u) ![i](s)\n- x\n- y\n\n> q\n```py\n# code\n```\n1. one\nend", "b")
     assert doc["title"] == "T" and doc["headings"] == [{"level": 2, "text": "H"}] and doc["lists"] == [{"ordered": False, "items": ["x", "y"]}, {"ordered": False, "items": ["one"]}]
